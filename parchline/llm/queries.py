@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchline.functions.refs import norm_ref
 from parchline.llm.langid import label_languages, wrong_labels
+from parchline.llm.leaks import leaked_items
 from parchline.llm.spam import keyword_pages
 from parchline.llm.topn import latest_rows, top_n_per_group
 
@@ -43,6 +44,10 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(spark, table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(table(spark, d, "documents"), "doc_id", "text").where("is_spam").select("doc_id")
 
@@ -52,7 +57,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_languages": p7_languages, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
 
 ORACLE = {
     "p1_found": """
