@@ -39,7 +39,7 @@ _MARKS = re.compile("[̀-ͯ]+")
 _WIDE = re.compile("([぀-ヿ㐀-鿿가-힯])")
 _WORD = np.zeros(256, dtype=bool)
 _WORD[np.r_[48:58, 97:123, 128:256]] = True
-_POWER = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x100000001B3, dtype=np.uint64)], dtype=np.uint64)
+_PRIME, _ONE = np.uint64(0x100000001B3), np.uint64(1)
 BAND = 16
 MIN_BLOCK = 4
 
@@ -56,27 +56,25 @@ def fold(text: str | None) -> str:
 
 def words_of(folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, position in the row and hash of every word of a list of folded texts."""
-    raw, off = bytes_of(pa.array(folded, pa.large_string()))
-    none = np.zeros(0, dtype=np.int64)
-    if not len(raw):
-        return none, none, none.astype(np.uint64)
+    raw, off = bytes_of(pa.array([f + "\n" for f in folded], pa.large_string()))
     word = _WORD[raw]
-    before = np.r_[False, word[:-1]]
-    before[off[:-1][off[:-1] < len(raw)]] = False
-    start = np.flatnonzero(word & ~before)
-    if not len(start):
-        return none, none, none.astype(np.uint64)
-    of = np.cumsum(word & ~before) - 1
-    at = np.flatnonzero(word)
-    place = at - start[of[at]]
-    value = (raw[at].astype(np.uint64) + np.uint64(1)) * _POWER[np.minimum(place, 255)]
-    value ^= value >> np.uint64(29)
-    value *= np.uint64(0x9E3779B97F4A7C15)
-    edges = np.flatnonzero(np.r_[True, of[at][1:] != of[at][:-1]])
-    hashes = np.add.reduceat(value, edges)
-    row = np.searchsorted(off, start, side="right") - 1
-    first = np.searchsorted(row, np.arange(len(folded)), side="left")
-    return row, np.arange(len(start)) - first[row], hashes
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(raw) and word[0]:
+        edge = np.r_[0, edge]
+    start, size = edge[0::2], edge[1::2] - edge[0::2]  # every row ends in a line feed
+    h = np.zeros(len(start), dtype=np.uint64)
+    live, at = np.arange(len(start)), start
+    for k in range(int(size.max(initial=0))):  # letter by letter, over ever fewer words
+        if k:
+            more = size[live] > k
+            live = live[more]
+            at = start[live] + k
+        h[live] = h[live] * _PRIME + raw[at] + _ONE
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    first = np.searchsorted(start, off)
+    row = np.repeat(np.arange(len(folded)), np.diff(first))
+    return row, np.arange(len(start)) - first[row], h
 
 
 class Items:

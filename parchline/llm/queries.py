@@ -9,6 +9,7 @@ from parchline.functions.refs import norm_ref
 from parchline.llm.langid import label_languages, wrong_labels
 from parchline.llm.leaks import leaked_items
 from parchline.llm.spam import keyword_pages
+from parchline.llm.splitter import split_oversized
 from parchline.llm.topn import latest_rows, top_n_per_group
 
 
@@ -26,6 +27,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("revision_id", "place", F.col("id").alias("copy_id"))
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["item_table", "item_id", "page_number"]
+    a = table(spark, d, "chunks").select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "page_number", "text")
+    b = table(spark, d, "page_results").select(F.lit("page_results").alias("item_table"), F.col("id").alias("item_id"), (F.col("pdf_index") + 1).alias("page_number"), F.col("extracted_text").alias("text"))
+    return split_oversized(a, keys, "text").unionAll(split_oversized(b, keys, "text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).select("item_table", "item_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).dropDuplicates(["item_table", "item_id", "piece_no"])
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return label_languages(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -57,7 +73,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
 
 ORACLE = {
     "p1_found": """
@@ -68,5 +84,10 @@ SELECT revision_id, place, copy_id FROM (
   FROM (SELECT DISTINCT id, row_version, revision_id, is_document_default, superseded, fitness_text, created_at FROM copies) c
   WHERE row_version = (SELECT max(row_version) FROM copies x WHERE x.id = c.id))
 WHERE revision_id <> '' AND place <= 3
+""",
+    "p6_found": """
+WITH items AS (SELECT 'chunks' AS item_table, id AS item_id, text FROM chunks UNION ALL SELECT 'page_results', id, extracted_text FROM page_results)
+SELECT DISTINCT item_table, item_id FROM items
+WHERE length(text) > 8000 OR len(regexp_extract_all(text, '[^\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) > 800
 """,
 }
