@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchline.functions.refs import norm_ref
+from parchline.llm.digest import certified, digest, merge, percentiles
 from parchline.llm.langid import label_languages, wrong_labels
 from parchline.llm.leaks import leaked_items
 from parchline.llm.spam import keyword_pages
 from parchline.llm.splitter import split_oversized
 from parchline.llm.topn import latest_rows, top_n_per_group
+from parchline.session import Scratch
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +29,37 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("revision_id", "place", F.col("id").alias("copy_id"))
 
 
+#: what a measurement can be: (least, greatest); sentinels such as -1, 0 dpi or 99999 dpi lie outside
+POSSIBLE = {"sharpness": (0.0, 1e9), "effective_dpi": (1.0, 10_000.0)}
+
+
+def _measurements(spark: SparkSession, d: str) -> DataFrame:
+    """(content_class, day, metric, value): one row per page and possible measurement, repeats once."""
+    pages = table(spark, d, "page_results").select("id", "content_class", F.to_date("analyzed_at").alias("day"), *POSSIBLE).distinct()
+    label = F.coalesce(norm_ref("content_class"), F.lit("unknown"))
+    long = pages.select(label.alias("content_class"), "day", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in POSSIBLE])).alias("m"))
+    long = long.select("content_class", "day", "m.metric", "m.value")
+    possible = F.lit(False)
+    for m, (lo, hi) in POSSIBLE.items():
+        possible = possible | ((F.col("metric") == m) & F.col("value").between(lo, hi))
+    return Scratch(spark, "digest").save(long.where(~F.isnan("value") & possible), "values")
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per class and metric, merged from digests per day, with their certified rank errors."""
+    keys = ["content_class", "metric"]
+    values = _measurements(spark, d)
+    daily = digest(values, [*keys, "day"], "value")
+    return certified(values, keys, "value", percentiles(merge(daily, keys), keys))
+
+
+def p5_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The medians of each day, from the digests that ``p5_percentiles`` merges."""
+    keys = ["content_class", "metric", "day"]
+    values = _measurements(spark, d)
+    return certified(values, keys, "value", percentiles(digest(values, keys, "value"), keys, (0.5,)), (0.5,))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     keys = ["item_table", "item_id", "page_number"]
     a = table(spark, d, "chunks").select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "page_number", "text")
@@ -73,7 +106,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
 
 ORACLE = {
     "p1_found": """
