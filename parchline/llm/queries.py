@@ -9,6 +9,7 @@ from parchline.functions.refs import norm_ref
 from parchline.llm.digest import certified, digest, merge, percentiles
 from parchline.llm.langid import label_languages, wrong_labels
 from parchline.llm.leaks import leaked_items
+from parchline.llm.scans import ScanRepair
 from parchline.llm.spam import keyword_pages
 from parchline.llm.splitter import split_oversized
 from parchline.llm.topn import latest_rows, top_n_per_group
@@ -29,6 +30,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("revision_id", "place", F.col("id").alias("copy_id"))
 
 
+def _scans(spark: SparkSession, d: str) -> ScanRepair:
+    return ScanRepair(spark, table(spark, d, "page_results"), "id", "copy_id", "pdf_index", "extracted_text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).lines()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).paragraphs()
+
+
 #: what a measurement can be: (least, greatest); sentinels such as -1, 0 dpi or 99999 dpi lie outside
 POSSIBLE = {"sharpness": (0.0, 1e9), "effective_dpi": (1.0, 10_000.0)}
 
@@ -106,7 +119,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
 
 
-QUERIES = {"p1_found": p1_found, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
 
 ORACLE = {
     "p1_found": """
