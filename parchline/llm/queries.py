@@ -9,6 +9,7 @@ from parchline.functions.refs import norm_ref
 from parchline.llm.digest import certified, digest, merge, percentiles
 from parchline.llm.langid import label_languages, wrong_labels
 from parchline.llm.leaks import leaked_items
+from parchline.llm.packing import pack_documents
 from parchline.llm.scans import ScanRepair
 from parchline.llm.spam import keyword_pages
 from parchline.llm.splitter import split_oversized
@@ -106,6 +107,19 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(spark, table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_fill(spark: SparkSession, d: str, capacity: int = 2048) -> DataFrame:
+    """Containers in use, the least possible number, and the share of space in use."""
+    by = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("fill"))
+    return by.agg(
+        F.count("*").alias("containers"), F.ceil(F.sum("fill") / capacity).alias("least_containers"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest"),
+        F.round(F.sum("fill") / (F.count("*") * capacity), 5).alias("share_used"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(spark, table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -119,7 +133,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
 
 ORACLE = {
     "p1_found": """
