@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from parchline.llm.units import bytes_of
 from parchline.session import Scratch
 
-_MARKS = re.compile("[̀-ͯ]+")
-_WIDE = re.compile("([぀-ヿ㐀-鿿가-힯])")
+_MARKS = re.compile("[\u0300-\u036f]+")
+_WIDE = re.compile("([\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])")
 _WORD = np.zeros(256, dtype=bool)
 _WORD[np.r_[48:58, 97:123, 128:256]] = True
 _PRIME, _ONE = np.uint64(0x100000001B3), np.uint64(1)
@@ -51,7 +51,7 @@ def fold(text: str | None) -> str:
     if text.isascii():
         return text.lower()
     out = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
-    return _WIDE.sub(r" \1 ", re.sub("[ -⁯　-〿]", " ", out))
+    return _WIDE.sub(r" \1 ", re.sub("[\u2000-\u206f\u3000-\u303f]", " ", out))
 
 
 def words_of(folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
