@@ -138,7 +138,7 @@ ORACLE = {
     "bm25_single": _bm25(_leaf(0, "potentiometer"), _ANY),
     "bm25_and": _bm25(_leaf(0, "washers") + " UNION ALL " + _leaf(1, "gasket"), _BOTH),
     "bm25_or": _bm25(_leaf(0, "gasket") + " UNION ALL " + _leaf(1, "isopropyl"), _ANY),
-    "bm25_not": _bm25(_leaf(0, "gasket"), _ANY + " WHERE doc_id NOT IN (SELECT doc_id FROM terms WHERE term = 'washers')"),
+    "bm25_not": _bm25(_leaf(0, "potentiometer"), _ANY + " WHERE doc_id NOT IN (SELECT doc_id FROM terms WHERE term = 'washers')"),
     "bm25_phrase": _bm25(
         "SELECT 0 AS leaf, a.doc_id, count(*) AS tf FROM terms a JOIN terms b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.term = 'contact' JOIN terms c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 AND c.term = 'between' WHERE a.term = 'loose' GROUP BY 2", _ANY
     ),

@@ -418,7 +418,7 @@ def trust_rolling30(spark, d):
 
 
 BM25_QUERIES = {
-    "bm25_single": "potentiometer", "bm25_and": "washers gasket", "bm25_or": "gasket OR isopropyl", "bm25_not": "gasket NOT washers", "bm25_phrase": '"loose contact between"',
+    "bm25_single": "potentiometer", "bm25_and": "washers gasket", "bm25_or": "gasket OR isopropyl", "bm25_not": "potentiometer NOT washers", "bm25_phrase": '"loose contact between"',
     "bm25_prefix": "potentio*", "bm25_near": "NEAR(washers gasket, 5)",
 }
 
