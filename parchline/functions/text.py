@@ -36,17 +36,25 @@ def search_terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}\p{Co}\-/.]+"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """What Unicode white space separates."""
     return F.filter(F.split(text, f"[{BLANKS}]+"), lambda x: x != "")
 
 
 def chunk_windows(text: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Windows of ``size`` tokens that start ``size - overlap`` apart; one window if all fit, none without tokens."""
-    t = tokens(text)
-    n = F.size(t)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(t, s + 1, size), " ")))
+    """Windows of ``size`` tokens that start ``size - overlap`` apart; one window if all fit, none without tokens; null for null."""
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(t, s + 1, size), " ")))
+
+    return F.when(text.isNotNull(), let(tokens(text), cut))
 
 
 def words(text: Column) -> Column:
@@ -68,8 +76,7 @@ def plausible(word: Column, lexicon: Column) -> Column:
 def garble_fraction(text: Column, lexicon: Column) -> Column:
     """Share of implausible words; null with fewer than five that count."""
     judged = F.filter(F.transform(words(text), lambda w: plausible(w, lexicon)), lambda p: p.isNotNull())
-    bad = F.size(F.filter(judged, lambda p: ~p))
-    return F.when(F.size(judged) >= 5, bad / F.size(judged))
+    return let(judged, lambda j: F.when(F.size(j) >= 5, F.size(F.filter(j, lambda p: ~p)) / F.size(j)))
 
 
 def is_refdes(token: Column) -> Column:
@@ -78,22 +85,31 @@ def is_refdes(token: Column) -> Column:
     return t.rlike(REFDES) | (t.rlike(PART_NUMBER) & t.rlike("[0-9]") & t.rlike("[A-Z]"))
 
 
-def language_votes(text: Column) -> dict[str, Column]:
-    """Stop words of each language among the bare tokens."""
+def language_votes(text: Column) -> Column:
+    """A struct of the stop words of each language among the bare tokens, and the number n of these."""
     bare = F.filter(F.transform(tokens(text), lambda x: F.lower(F.btrim(x, F.lit(".,;:()[]\"'!?®™")))), lambda x: x != "")
-    # a lambda with a default would be taken for one with an index
-    among = lambda w: F.size(F.filter(bare, lambda x: x.isin(w)))
-    return {lang: among(w) for lang, w in STOP_WORDS.items()} | {"n": F.size(bare)}
 
+    def count(b: Column) -> Column:
+        # a lambda with a default would be taken for one with an index
+        among = lambda w: F.size(F.filter(b, lambda x: x.isin(w)))
+        return F.struct(*[among(w).alias(lang) for lang, w in STOP_WORDS.items()], F.size(b).alias("n"))
+
+    return let(bare, count)
 
-def vote_winner(votes: dict[str, Column]) -> Column:
+
+def vote_winner(votes: Column) -> Column:
     """The language with the most votes, if it has three and half as many again as the next; ties go to none."""
-    counts = F.sort_array(F.array(*[votes[k] for k in STOP_WORDS]), asc=False)
-    best, second = counts[0], counts[1]
-    name = F.lit(None).cast("string")
-    for lang in reversed(list(STOP_WORDS)):
-        name = F.when(votes[lang] == best, lang).otherwise(name)
-    return F.when((votes["n"] >= 10) & (best >= 3) & (best >= 1.5 * second), name)
+
+    def choose(v: Column) -> Column:
+        def best(c: Column) -> Column:
+            name = F.lit(None).cast("string")
+            for lang in reversed(list(STOP_WORDS)):
+                name = F.when(v[lang] == c[0], lang).otherwise(name)
+            return F.when((v["n"] >= 10) & (c[0] >= 3) & (c[0] >= 1.5 * c[1]), name)
+
+        return let(F.sort_array(F.array(*[v[k] for k in STOP_WORDS]), asc=False), best)
+
+    return let(votes, choose)
 
 
 def letter_counts(text: Column) -> dict[str, Column]:

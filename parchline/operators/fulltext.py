@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from parchline.functions.text import folding, search_terms
 from parchline.model.constants import BM25_B, BM25_K1, IDF_FLOOR
+from parchline.session import Scratch
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,11 +30,6 @@ def document_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.size(search_terms(F.col(text))).alias("len")).where("len >= 0")
 
 
-def corpus_statistics(lengths: DataFrame) -> DataFrame:
-    """(n_docs, avg_len) as one row."""
-    return lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-
-
 @dataclass(frozen=True)
 class Term:
     text: str
@@ -139,14 +135,16 @@ def _one(items):
 
 
 class Index:
-    """Postings, lengths and corpus statistics of one corpus. Statistics cover every row given, also inactive ones."""
+    """Postings, lengths and corpus statistics of one corpus. Statistics cover every row given, also inactive ones. The postings
+    are written once, so every list of a query reads them instead of the texts."""
 
     def __init__(self, df: DataFrame, key: str, text: str):
         self.key = key
-        self.postings = postings(df, key, text)
-        self.lengths = document_lengths(df, key, text)
-        one = corpus_statistics(self.lengths).first()
-        self.n_docs, self.avg_len = one["n_docs"], one["avg_len"] or 1.0
+        scratch = Scratch(df.sparkSession, "index")
+        self.postings = scratch.save(postings(df, key, text), "postings")
+        self.lengths = scratch.save(self.postings.groupBy(key).agg(F.sum("tf").alias("len")), "lengths")
+        self.n_docs = df.where(F.col(text).isNotNull()).count()
+        self.avg_len = (self.lengths.agg(F.sum("len")).first()[0] or 0) / max(self.n_docs, 1) or 1.0
 
     def _list(self, term: str, prefix: bool = False) -> DataFrame:
         """(key, tf) of one term, or of all terms with a prefix together."""

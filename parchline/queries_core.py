@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parchline.functions import text as X
 from parchline.functions.refs import norm_ref
 from parchline.model import constants as K
+from parchline.functions.partitions import spread
 from parchline.operators import access, authority, dedup, fulltext, fusion, generations, html, ledger, quality
 
 SHOP = {"archive": "internal"}
@@ -25,6 +26,11 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with text, over all cores."""
+    return spread(t(spark, d, "documents").where("text IS NOT NULL"))
+
+
 # access
 
 
@@ -63,32 +69,33 @@ def source_merge(spark, d):
 
 
 def chunk_windows(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.posexplode(X.chunk_windows(F.col("text"))).alias("seq", "chunk"))
+    docs = documents(spark, d).select("doc_id", F.posexplode(X.chunk_windows(F.col("text"))).alias("seq", "chunk"))
     return docs.select("doc_id", "seq", F.size(X.tokens(F.col("chunk"))).alias("n_tokens"), F.md5("chunk").alias("md5"))
 
 
 def tokenize_df(spark, d):
-    p = fulltext.postings(t(spark, d, "documents"), "doc_id", "text")
+    p = fulltext.postings(documents(spark, d), "doc_id", "text")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def postings(spark, d):
-    return fulltext.postings(t(spark, d, "documents"), "doc_id", "text").select("term", "doc_id", "tf", F.col("positions")[0].alias("first_position"))
+    return fulltext.postings(documents(spark, d), "doc_id", "text").select("term", "doc_id", "tf", F.col("positions")[0].alias("first_position"))
 
 
 def language_vote(spark, d):
-    votes = X.language_votes(F.col("text"))
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *[votes[k].alias(f"votes_{k}") for k in votes], X.vote_winner(votes).alias("language"))
+    docs = documents(spark, d).select("doc_id", X.language_votes(F.col("text")).alias("v"))
+    return docs.select("doc_id", *[F.col(f"v.{k}").alias(f"votes_{k}") for k in [*K.STOP_WORDS, "n"]], X.vote_winner(F.col("v")).alias("language"))
 
 
 def letter_mix(spark, d):
     counts = X.letter_counts(F.col("text"))
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *[counts[k].alias(k) for k in counts])
+    return documents(spark, d).select("doc_id", *[counts[k].alias(k) for k in counts])
 
 
 def language_detect(spark, d):
     c, votes = X.letter_counts(F.col("text")), X.language_votes(F.col("text"))
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.text_language(c["kana"], c["han"], c["latin"], X.vote_winner(votes)).alias("language"))
+    docs = documents(spark, d).select("doc_id", votes.alias("v"), *[c[k].alias(k) for k in c])
+    return docs.select("doc_id", X.text_language(F.col("kana"), F.col("han"), F.col("latin"), X.vote_winner(F.col("v"))).alias("language"))
 
 
 #: words that count as known: a parameter of the garble measure
@@ -98,17 +105,18 @@ LEXICON = ["the", "and", "that", "with", "this", "from", "have", "not", "are", "
 def garble_fraction(spark, d):
     lex = F.array(*[F.lit(w) for w in LEXICON])
     g = X.garble_fraction(F.col("text"), lex)
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(g, 6).alias("garble"), F.coalesce(g >= K.GARBLE_SUSPECT, F.lit(False)).alias("suspect"))
+    docs = documents(spark, d).select("doc_id", g.alias("g"))
+    return docs.select("doc_id", F.round("g", 6).alias("garble"), F.coalesce(F.col("g") >= K.GARBLE_SUSPECT, F.lit(False)).alias("suspect"))
 
 
 def phi_screen(spark, d):
     # of the fixed terms none is common here: the same operator with terms that occur
     verdict = X.phi_verdict(F.col("text"), strong=["description of the symptom", "monitor chassis"], weak=["technician", "isopropyl", "symptom"])
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", verdict.alias("verdict"))
+    return documents(spark, d).select("doc_id", verdict.alias("verdict"))
 
 
 def phi_fixed_terms(spark, d):
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.phi_verdict(F.col("text")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    return documents(spark, d).select("doc_id", X.phi_verdict(F.col("text")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def html_links(spark, d):
@@ -125,7 +133,7 @@ def directory_entries(spark, d):
 
 
 def _index(spark, d):
-    return fulltext.Index(t(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return fulltext.Index(documents(spark, d), "doc_id", "text")
 
 
 def _bm25(query):

@@ -56,6 +56,7 @@ def test_refdes_and_phi(spark):
 
 def test_language_vote(spark):
     v = X.language_votes(F.col("t"))
+    assert one(spark, v, t="The dog, and THE cat").asDict() == {"eng": 3, "fra": 0, "deu": 0, "spa": 0, "ita": 0, "n": 5}
     assert one(spark, X.vote_winner(v), t="der Hund und die Katze sind nicht im Haus bei dem Baum") == "deu"
     assert one(spark, X.vote_winner(v), t="the dog") is None
 
