@@ -141,14 +141,17 @@ class Model:
         self.table, self.common = table, common
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], refits: int = 1) -> "Model":
-        """From labelled texts; then again from the sentences as the first fit assigns them."""
+    def fit(cls, texts: list[str], labels: list[str], refits: int = 1, weigh_bytes: int = 3000) -> "Model":
+        """From labelled texts; then again from the sentences as the first fit assigns them. A text of more than ``weigh_bytes``
+        counts as so many, or one long text with a wrong label could stand for a rare language."""
         col = pa.array(texts, pa.large_string())
         u = units_of(col)
         pick = np.flatnonzero(u.sentences())
         of = np.array([LANGS.index(x) if x in LANGS else -1 for x in labels])[u.doc[pick]]
         pick, of = pick[of >= 0], of[of >= 0]
         idx = grams(u.data)
+        size = np.bincount(u.doc, weights=u.end - u.start, minlength=len(texts))
+        weight = np.minimum(1.0, weigh_bytes / np.maximum(size, 1))[np.repeat(u.doc, u.end - u.start)]
         for fit in range(refits + 1):
             counts = np.full((len(LANGS), 1 << BITS), 0.02)
             for lang in range(len(LANGS)):
@@ -157,7 +160,8 @@ class Model:
                     member = np.zeros(len(idx) + 1, dtype=np.int32)
                     np.add.at(member, u.start[mine], 1)
                     np.add.at(member, u.end[mine], -1)
-                    counts[lang] += np.bincount(idx[np.cumsum(member[:-1]) > 0], minlength=1 << BITS)
+                    inside = np.cumsum(member[:-1]) > 0
+                    counts[lang] += np.bincount(idx[inside], weights=weight[inside], minlength=1 << BITS)
             table = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
             if fit < refits:
                 of = likelihoods(u, table, pick).argmax(axis=1)

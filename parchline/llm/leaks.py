@@ -14,7 +14,7 @@
 No posting leaves its shard, so nothing is shuffled but the document frequencies. The items go to the executors in
 blocks of ``items_per_pass``; the size of what is sent is bounded by that parameter, not by the data.
 
-Defined results: null and empty texts and items match nothing; items of fewer than ``min_words`` words are found only whole;
+Defined results: null and empty texts and items match nothing; items of fewer than ``min_words`` words are found only whole, single words not at all;
 a document that holds an item several times is reported once with its best place; equal items are reported each;
 repeated documents are reported each.
 """
@@ -97,7 +97,7 @@ class Items:
 def _shards(items: Items, size: int):
     """Batches of (key, text) to index shards of about ``size`` characters."""
 
-    def one(keys: list, folded: list[str]) -> pa.RecordBatch | None:
+    def one(keys: list, folded: list[str], kind: pa.DataType) -> pa.RecordBatch | None:
         row, pos, h = words_of(folded)
         term = items.lookup(h)
         hit = np.flatnonzero(term >= 0)
@@ -105,7 +105,7 @@ def _shards(items: Items, size: int):
             return None
         hit = hit[np.argsort(term[hit], kind="stable")]
         return pa.RecordBatch.from_arrays(
-            [pa.array([keys]), pa.array([term[hit].astype(np.int32)]), pa.array([row[hit].astype(np.int32)]), pa.array([pos[hit].astype(np.int32)])], names=["docs", "term", "doc", "pos"]
+            [pa.array([keys], pa.list_(kind)), pa.array([term[hit].astype(np.int32)]), pa.array([row[hit].astype(np.int32)]), pa.array([pos[hit].astype(np.int32)])], names=["docs", "term", "doc", "pos"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +116,10 @@ def _shards(items: Items, size: int):
                 folded.append(fold(t))
                 have += len(folded[-1])
                 if have >= size:
-                    if (out := one(keys, folded)) is not None:
+                    if (out := one(keys, folded, b.column(0).type)) is not None:
                         yield out
                     keys, folded, have = [], [], 0
-            if keys and (out := one(keys, folded)) is not None:
+            if keys and (out := one(keys, folded, b.column(0).type)) is not None:
                 yield out
 
     return run
@@ -137,7 +137,7 @@ def held(item: list[int], window: list[int]) -> int:
                 last[1], last[3], last[4] = a + n, b + n, n
                 continue
         merged.append([a, a + n, b, b + n, n])
-    kept = [m for m in merged if m[1] - m[0] >= MIN_BLOCK]
+    kept = [m for m in merged if m[1] - m[0] >= min(MIN_BLOCK, len(item))]
     best = total = 0
     edge = None
     for m in kept:  # one place: blocks further apart than an interruption start again
@@ -200,7 +200,7 @@ def _match(items: Items, rare: list[list[int]], least: float, share: float, min_
                             found.append((docs[d].as_py(), items.ids[i], best / len(words)))
             if found:
                 k, i, s = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["doc", "item", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, b.column(0).type.value_type), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["doc", "item", "share"])
 
     return run
 

@@ -166,6 +166,8 @@ class Splitter:
         """(start with overlap, stop, start without overlap, tokens)."""
         out = []
         for a, b in self._cuts(0, len(self.text), [m.end() for m in re.finditer("\f", self.text)]):
+            if a == b:
+                continue
             self.page_start = a
             for s, e in self.pack(a, b):
                 lead = self.lead(s)

@@ -9,7 +9,7 @@ two rows per partition, which bounds what is broadcast.
 
 Defined results: rows of a null or empty group are left out; sort keys order nulls as given; ties are broken by
 the caller's last key, which should be unique; wholly equal rows keep one place each; an empty table gives
-an empty result; extra columns are carried along, whatever their names.
+an empty result; extra columns are carried along, whatever their names (one named as ``place`` is replaced).
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchline.session import Scratch
 
-PART, KIND, SEEN, GROUP = "__part", "__kind", "__seen", "__group"
+def _own_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame does not have."""
+    mark = "__"
+    while any(f"{mark}{n}" in df.columns for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
 
 
-def _local_positions(n: int):
+def _local_positions(n: int, PART: str, KIND: str, SEEN: str, GROUP: str):
     """Adds position in partition and group to sorted batches; keeps positions up to n. The partition ends with
     marker rows (kind 1) for its first and last group and their counts, cut at n."""
 
@@ -76,24 +81,19 @@ def _local_positions(n: int):
 def top_n_per_group(spark: SparkSession, df: DataFrame, group: str, order: list[Column], n: int, place: str = "place") -> DataFrame:
     """The first ``n`` rows of every non-null ``group`` by ``order``, with their ``place`` from 1."""
     scratch = Scratch(spark, "topn")
+    PART, KIND, SEEN, GROUP, BEFORE = _own_names(df, "part", "kind", "seen", "group", "before")
     key = F.col(group).cast("string")
     rows = df.where(key.isNotNull() & (key != "")).withColumn(GROUP, key)
     ordered = rows.repartitionByRange(F.col(GROUP).asc(), *order).sortWithinPartitions(F.col(GROUP).asc(), *order)
     schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField(KIND, T.ByteType()), T.StructField(SEEN, T.LongType()), *[T.StructField(f.name, f.dataType, True) for f in ordered.schema]])
-    local = scratch.save(ordered.mapInArrow(_local_positions(n), schema), "local")
+    local = scratch.save(ordered.mapInArrow(_local_positions(n, PART, KIND, SEEN, GROUP), schema), "local")
     edges = local.where(F.col(KIND) == 1).select(GROUP, PART, SEEN)
-    earlier = F.sum(F.col(SEEN)).over(_window())
-    offsets = edges.select(GROUP, PART, F.coalesce(earlier, F.lit(0)).alias("__before")).where("__before > 0")
+    earlier = F.sum(F.col(SEEN)).over(Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = edges.select(GROUP, PART, F.coalesce(earlier, F.lit(0)).alias(BEFORE)).where(F.col(BEFORE) > 0)
     # at most two rows per partition of the sort
     out = local.where(F.col(KIND) == 0).join(F.broadcast(offsets), [GROUP, PART], "left")
-    at = F.col(SEEN) + F.coalesce("__before", F.lit(0))
-    return out.withColumn(place, at.cast("int")).where(F.col(place) <= n).select(*[F.col(f"`{c}`") for c in df.columns if c != place], place)
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(GROUP).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col(SEEN) + F.coalesce(BEFORE, F.lit(0))
+    return out.where(at <= n).select(*[F.col(f"`{c}`") for c in df.columns if c != place], at.cast("int").alias(place))
 
 
 def latest_rows(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
