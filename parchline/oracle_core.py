@@ -204,6 +204,24 @@ ORACLE = {
         g AS (SELECT *, lag(page_count) OVER (PARTITION BY revision_id ORDER BY page_count) AS before FROM c),
         r AS (SELECT *, sum(CASE WHEN before IS NULL OR page_count - before > 0.02 * page_count THEN 1 ELSE 0 END) OVER (PARTITION BY revision_id ORDER BY page_count) AS run FROM g)
         SELECT revision_id, CAST(run AS BIGINT) AS run, min(page_count) AS least, max(page_count) AS most, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2""",
+    "text_sample": """WITH p AS (SELECT DISTINCT id, copy_id, pdf_index, extracted_text FROM page_results WHERE extracted_text <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY copy_id ORDER BY pdf_index, id) AS k FROM p),
+        s AS (SELECT copy_id, substring(string_agg(extracted_text, ' ' ORDER BY k), 1, 20000) AS x FROM r WHERE k <= 3 GROUP BY 1) SELECT copy_id, CAST(length(x) AS INTEGER) AS n_chars, md5(x) AS md5 FROM s""",
+    "document_details": """WITH r AS (SELECT DISTINCT lower(id) AS rev, document_id, ordinal, label FROM revisions), c AS (SELECT lower(trim(revision_id)) AS rev, count(DISTINCT id) AS n FROM copies GROUP BY 1),
+        l AS (SELECT document_id, label FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(ordinal, -1) DESC, rev DESC) AS k FROM r WHERE label IS NOT NULL) WHERE k = 1),
+        a AS (SELECT document_id, count(DISTINCT rev) AS n_revisions, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_copies FROM r LEFT JOIN c USING (rev) GROUP BY 1)
+        SELECT d.document_id, title, coalesce(n_revisions, 0) AS n_revisions, coalesce(n_copies, 0) AS n_copies, l.label AS latest_label FROM documents d LEFT JOIN a USING (document_id) LEFT JOIN l USING (document_id)""",
+    "next_ordinal": "SELECT document_id, coalesce(max(ordinal), -1) + 1 AS next_ordinal FROM revisions GROUP BY 1",
+    "provisional_default": f"""WITH {_LATEST}, {_REVS}, c AS (SELECT l.id, revs.document_id, is_document_default, created_at FROM latest l JOIN revs ON rev = lower(trim(revision_id)))
+        SELECT document_id, copy_id FROM (SELECT document_id, id AS copy_id, max(coalesce(is_document_default, 0)) OVER (PARTITION BY document_id) AS has, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS k FROM c) WHERE has = 0 AND k = 1""",
+    "chunk_metadata": "SELECT id, json_extract_string(metadata, '$.text_origin') AS text_origin, CAST(json_extract(metadata, '$.superseded') AS INTEGER) AS superseded FROM (SELECT DISTINCT id, metadata FROM chunks)",
+    "hit_citations": """SELECT DISTINCT id, document_id AS document, nullif(lower(trim(revision_id)), '') AS revision, nullif(lower(trim(copy_id)), '') AS representation, 'page' AS locator, page_number AS page FROM search_hits""",
+    "text_page_counts": f"""WITH {_LATEST}, {_REVS} SELECT revs.document_id, count(DISTINCT p.id) AS n_text_pages FROM page_results p JOIN latest l ON l.id = p.copy_id JOIN revs ON rev = lower(trim(l.revision_id)) WHERE extracted_text <> '' GROUP BY 1""",
+    "recall_at_k": _INDEX
+    + f"""hits AS ({_leaf(0, 'isopropyl')}), found AS ({_ANY}),"""
+    + _SCORE
+    + """, top AS (SELECT doc_id FROM scored ORDER BY round(score, 6), doc_id LIMIT 100), wanted AS (SELECT DISTINCT a.doc_id FROM terms a JOIN terms b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'isopropyl' AND b.term = 'alcohol')
+    SELECT 'isopropyl' AS query, round(count(t.doc_id) / count(*), 6) AS recall FROM wanted w LEFT JOIN top t USING (doc_id)""",
+    "snapshot_retention": f"WITH {_OUTBOX} SELECT queue, count(*) AS n, max(id) AS newest FROM (SELECT queue, id, row_number() OVER (PARTITION BY queue ORDER BY id DESC) AS k FROM outbox) WHERE k > 14 GROUP BY 1",
     "authority_resolve": _RESOLVE + "SELECT * FROM resolved",
     "authority_conflicts": _RESOLVE + "SELECT object_kind, count(*) AS objects, count(*) FILTER (conflict) AS conflicts FROM resolved GROUP BY 1",
     "pinned_revision": _RESOLVE + _PINS + "SELECT * FROM pins",

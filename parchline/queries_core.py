@@ -11,7 +11,7 @@ from parchline.functions import text as X
 from parchline.functions.refs import norm_ref
 from parchline.model import constants as K
 from parchline.functions.partitions import spread
-from parchline.operators import access, authority, dedup, fulltext, fusion, generations, html, ledger, quality
+from parchline.operators import access, authority, catalogue, dedup, fulltext, fusion, generations, html, ledger, quality
 
 SHOP = {"archive": "internal"}
 PRINCIPALS = {
@@ -308,6 +308,53 @@ def grouping_band(spark, d):
     return c.withColumn("run", F.sum("fresh").over(w)).groupBy("revision_id", "run").agg(F.min("page_count").alias("least"), F.max("page_count").alias("most"), F.sum("n").alias("n"))
 
 
+def text_sample(spark, d):
+    return catalogue.text_sample(t(spark, d, "page_results")).select("copy_id", F.length("sample").alias("n_chars"), F.md5("sample").alias("md5"))
+
+
+def document_details(spark, d):
+    return catalogue.document_details(t(spark, d, "documents"), t(spark, d, "revisions"), t(spark, d, "copies"))
+
+
+def next_ordinal(spark, d):
+    return catalogue.next_ordinal(t(spark, d, "revisions"))
+
+
+def provisional_default(spark, d):
+    return catalogue.provisional_defaults(_latest_copies(spark, d), t(spark, d, "revisions"))
+
+
+def chunk_metadata(spark, d):
+    return catalogue.chunk_metadata(t(spark, d, "chunks").select("id", "metadata").distinct())
+
+
+def hit_citations(spark, d):
+    """Citations of logged hits, as flat columns."""
+    h = t(spark, d, "search_hits").select("id", "document_id", norm_ref("revision_id").alias("rev"), norm_ref("copy_id").alias("copy"), "page_number").distinct()
+    c = h.select("id", catalogue.citation("document_id", "rev", "copy", "page_number").alias("c"))
+    return c.select("id", "c.document", "c.revision", "c.representation", F.col("c.locator.type").alias("locator"), F.col("c.locator.page").alias("page"))
+
+
+def text_page_counts(spark, d):
+    """Pages with text per document."""
+    p = t(spark, d, "page_results").where("extracted_text <> ''").select("id", "copy_id").distinct()
+    rev = t(spark, d, "revisions").select(F.lower("id").alias("rev"), "document_id").distinct()
+    c = _latest_copies(spark, d).select(F.col("id").alias("copy_id"), norm_ref("revision_id").alias("rev")).join(rev, "rev")
+    return p.join(c, "copy_id").groupBy("document_id").agg(F.count("*").alias("n_text_pages"))
+
+
+def recall_at_k(spark, d):
+    """Of the documents that hold a phrase, the share that the ranked word search finds among its first hundred."""
+    index = _index(spark, d)
+    wanted = index.matching(fulltext.parse('"isopropyl alcohol"')).select(F.lit("isopropyl").alias("query"), "doc_id")
+    found = fulltext.top_hits(index.scored("isopropyl").withColumn("score", F.round("score", 6)), "doc_id", 100).select(F.lit("isopropyl").alias("query"), "doc_id")
+    return fusion.recall(found, wanted, "query", "doc_id").select("query", F.round("recall", 6).alias("recall"))
+
+
+def snapshot_retention(spark, d):
+    return catalogue.beyond_retention(_outbox(spark, d).select("queue", "id", "created_at"), ["queue"], "id", 14).groupBy("queue").agg(F.count("*").alias("n"), F.max("id").alias("newest"))
+
+
 # authority and ledgers
 
 
@@ -434,6 +481,7 @@ _NAMES = """access_filter_shop access_matrix_counts widening_audit dedup_assets
 language_vote letter_mix language_detect garble_fraction phi_screen phi_fixed_terms html_links directory_entries search_topk_secure search_pinned_tier
 search_badges if_score deduction_totals grade_distribution tq_score doc_rollup page_gates worst_pages ocr_word_stats screening_sample
 skew_weighted_median default_copy_top1 generation_build generation_visible generation_gc generation_verify orphan_chunks copy_documents grouping_band
+text_sample document_details next_ordinal provisional_default chunk_metadata hit_citations text_page_counts recall_at_k snapshot_retention
 authority_resolve authority_conflicts pinned_revision stale_propagation request_replay mutation_fold outbox_status outbox_next job_claim_order
 audit_chain audit_chain_verify access_demand_tumbling access_sessions rrf_fusion cosine_topk trust_rolling30""".split()
 QUERIES = {n: globals()[n] for n in _NAMES} | {n: _bm25(q) for n, q in BM25_QUERIES.items()}

@@ -239,3 +239,10 @@ def test_once_per_key(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["key"] for r in spark.table("once").collect()) == ["j", "k"]
+
+
+def test_ext_merge(spark):
+    from parchline.operators.catalogue import merge_keys
+
+    df = spark.createDataFrame([({"a": "1", "ext.b": "2"}, {"ext.b": None, "ext.c": "3"}), ({}, {"x": "1"})], "old map<string,string>, new map<string,string>")
+    assert [r[0] for r in df.select(merge_keys(F.col("old"), F.col("new"))).collect()] == [{"a": "1", "ext.c": "3"}, None]
