@@ -141,7 +141,7 @@ class Model:
         self.table, self.common = table, common
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], refits: int = 1, weigh_bytes: int = 3000) -> "Model":
+    def fit(cls, texts: list[str], labels: list[str], refits: int = 1, weigh_bytes: int = 3000, floor: float = 0.05) -> "Model":
         """From labelled texts; then again from the sentences as the first fit assigns them. A text of more than ``weigh_bytes``
         counts as so many, or one long text with a wrong label could stand for a rare language."""
         col = pa.array(texts, pa.large_string())
@@ -151,18 +151,22 @@ class Model:
         pick, of = pick[of >= 0], of[of >= 0]
         idx = grams(u.data)
         size = np.bincount(u.doc, weights=u.end - u.start, minlength=len(texts))
-        weight = np.minimum(1.0, weigh_bytes / np.maximum(size, 1))[np.repeat(u.doc, u.end - u.start)]
+        weight = np.minimum(1.0, weigh_bytes / np.maximum(size, 1))
         for fit in range(refits + 1):
-            counts = np.full((len(LANGS), 1 << BITS), 0.02)
+            counts = np.zeros((len(LANGS), 1 << BITS))
             for lang in range(len(LANGS)):
                 mine = pick[of == lang]
-                if len(mine):
-                    member = np.zeros(len(idx) + 1, dtype=np.int32)
-                    np.add.at(member, u.start[mine], 1)
-                    np.add.at(member, u.end[mine], -1)
-                    inside = np.cumsum(member[:-1]) > 0
-                    counts[lang] += np.bincount(idx[inside], weights=weight[inside], minlength=1 << BITS)
-            table = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
+                first, second = (np.zeros(1 << BITS) for _ in range(2))
+                for doc in np.split(mine, np.flatnonzero(np.diff(u.doc[mine])) + 1) if len(mine) else []:
+                    seen = np.bincount(np.concatenate([idx[u.start[p] : u.end[p]] for p in doc]), minlength=1 << BITS) * weight[u.doc[doc[0]]]
+                    counts[lang] += seen
+                    second = np.maximum(second, np.minimum(first, seen))
+                    first = np.maximum(first, seen)
+                # without the two texts that have most of a gram: what only a wrongly labelled text and a copy of it say, counts for nothing
+                counts[lang] = np.maximum(counts[lang] - first - second, 0) if len(np.unique(u.doc[mine])) > 4 else counts[lang]
+            # the same floor for all: with added counts, a language of few texts would be the likeliest for whatever is new
+            seen = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
+            table = np.log((1 - floor) * seen + floor / (1 << BITS)).T.astype(np.float32).copy()
             if fit < refits:
                 of = likelihoods(u, table, pick).argmax(axis=1)
         common = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchline.functions.partitions import spread
 from parchline.functions.refs import norm_ref
 from parchline.llm.digest import certified, digest, merge, percentiles
 from parchline.llm.langid import label_languages, wrong_labels
@@ -21,6 +22,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows are heavy work: over all cores, if its files are fewer."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "copies").select("id", "row_version", "revision_id", "is_document_default", "superseded", "fitness_text", "created_at")
     own = latest_rows(c, "id", "row_version", ["revision_id", "is_document_default", "superseded", "fitness_text", "created_at"])
@@ -32,7 +38,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, d: str) -> ScanRepair:
-    return ScanRepair(spark, table(spark, d, "page_results"), "id", "copy_id", "pdf_index", "extracted_text")
+    return ScanRepair(spark, texts(spark, d, "page_results", "id", "copy_id", "pdf_index", "extracted_text"), "id", "copy_id", "pdf_index", "extracted_text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +82,8 @@ def p5_daily(spark: SparkSession, d: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     keys = ["item_table", "item_id", "page_number"]
-    a = table(spark, d, "chunks").select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "page_number", "text")
-    b = table(spark, d, "page_results").select(F.lit("page_results").alias("item_table"), F.col("id").alias("item_id"), (F.col("pdf_index") + 1).alias("page_number"), F.col("extracted_text").alias("text"))
+    a = texts(spark, d, "chunks", "id", "page_number", "text").select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "page_number", "text")
+    b = texts(spark, d, "page_results", "id", "pdf_index", "extracted_text").select(F.lit("page_results").alias("item_table"), F.col("id").alias("item_id"), (F.col("pdf_index") + 1).alias("page_number"), F.col("extracted_text").alias("text"))
     return split_oversized(a, keys, "text").unionAll(split_oversized(b, keys, "text"))
 
 
@@ -90,7 +96,7 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return label_languages(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return label_languages(texts(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +114,7 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(spark, table(spark, d, "documents"), "doc_id", "text")
+    return pack_documents(spark, texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def p8_fill(spark: SparkSession, d: str, capacity: int = 2048) -> DataFrame:
@@ -121,16 +127,16 @@ def p8_fill(spark: SparkSession, d: str, capacity: int = 2048) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(spark, table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+    return leaked_items(spark, texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return keyword_pages(table(spark, d, "documents"), "doc_id", "text").where("is_spam").select("doc_id")
+    return keyword_pages(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").where("is_spam").select("doc_id")
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     shares = ["clause_share", "data_share", "link_share", "repeat_share", "spam_share"]
-    return keyword_pages(table(spark, d, "documents"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
+    return keyword_pages(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
