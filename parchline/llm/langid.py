@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchline.llm.units import Units, units_of
+from parchline.llm.units import Units, parts, units_of
 
 LANGS = ["eng", "fra", "deu", "spa", "ita", "por", "nld", "jpn"]
 
@@ -273,7 +273,7 @@ def label_languages(df: DataFrame, key: str, text: str, label: str, sample_rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
-        for b in batches:
+        for b in (x for whole in batches for x in parts(whole, 2)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *detect(b.column(2), own, penalty)], names=["key", "label_lang", *SCHEMA.names])
 
     rows = df.select(F.col(key).alias("key"), label_language(F.col(label)).alias("label_lang"), F.col(text).alias("text"))

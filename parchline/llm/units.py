@@ -7,10 +7,12 @@ on the UTF-8 bytes of the batch at once; no text is cut short and nothing is don
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE, LETTER, DIGIT, STOP, OTHER = 0, 1, 2, 3, 4
 _CLASS = np.full(256, OTHER, dtype=np.uint8)
@@ -47,6 +49,19 @@ class Units:
         return self.stopped & (words | (self.wide >= min_wide)) & (self.links <= 1)
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``size`` bytes of text, at least one row each: work arrays are many times as large as
+    the text, and a batch is bounded by rows, not by bytes."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.cumsum(length)
+    at = 0
+    while at < batch.num_rows:
+        base = end[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(end, base + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and the offsets of its rows; nulls are empty."""
     if not pa.types.is_large_string(column.type):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchline.llm import langid as L
-from parchline.llm.units import units_of
+from parchline.llm.units import parts, units_of
 
 DEU = "Die Leuchte wird nach der Einstellung wieder geschlossen. Der gelbe Draht darf den Rahmen nicht berühren. "
 ENG = "The marquee lamp must be closed after the adjustment. The yellow wire must not touch the metal frame. "
@@ -56,3 +56,11 @@ def test_units():
     u = units_of(pa.array([None, "", "One two three four. Five\nSIX\nseven eight nine. \n", "a.b c"]))
     parts = [(int(d), u.data[s:e].tobytes().decode().strip()) for d, s, e in zip(u.doc, u.start, u.end, strict=True)]
     assert parts == [(2, "One two three four."), (2, "Five"), (2, "SIX\nseven eight nine."), (2, ""), (3, "a.b c")] or [p for p in parts if p[1]] == [(2, "One two three four."), (2, "Five"), (2, "SIX\nseven eight nine."), (3, "a.b c")]
+
+
+def test_parts_keep_all_rows():
+    texts = [None, "", "x" * 50, "y" * 5, None, "z" * 500, "a", "b"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["k", "t"])
+    got = list(parts(b, 1, 60))
+    assert [r for p in got for r in p.column(1).to_pylist()] == texts and len(got) == 3
+    assert list(parts(b.slice(0, 0), 1)) == []
