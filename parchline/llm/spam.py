@@ -1,13 +1,15 @@
 """Pages made of keywords, links or product tags.
 
-A page is cut into units (``units``). Its running sentences are its clauses; lines of numbers, codes or dot leaders
-are data. For what is left, the page's suffix automaton over word tokens is built, and the characters
+A page is cut into units at line feeds and stops, after its links, anchors and tags are taken out. Its running sentences
+are its clauses, unless they are made of keywords (``stuffed``); lines of numbers, codes or dot leaders are data. For what is
+left, the page's suffix automaton over word tokens is built, and the characters
 covered by repeated maximal substrings of at least two words are measured; link and tag characters are added.
 A page is spam if these make up more than half of its visible characters.
 
+A sentence that comes again as a whole is judged once, so a manual that repeats its sentences is no spam.
+
 The automaton has at most twice as many states as the page has words and is built in one pass. A page whose clauses
-and data already make up half of it cannot be spam whatever its repeats, and is decided without one: this is
-the decision rule itself, not a sample.
+and data, cut and judged as above, make up half of it cannot be spam whatever else repeats, and needs no automaton.
 
 Defined results: null, empty and blank texts are no spam and have a share of 0; repeated rows are judged each.
 """
@@ -15,7 +17,9 @@ Defined results: null, empty and blank texts are no spam and have a share of 0;
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchline.llm.units import Units, parts, units_of
+from parchline.llm.units import parts
 
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?(?:</a>|$)|<[a-z/][^>]*>", re.I | re.S)
 _LINK = re.compile(r"(?:https?://|ftp://|www\.)\S+", re.I)
 _TAG = re.compile(r"(?:(?<=\s)|^)[#＃]\w+")
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _SPLIT = re.compile(r"\n|(?<=[.!?])\s+|(?<=。)")
+_DIGIT = re.compile(r"[0-9]")
+_WIDE = re.compile("[\u3040-\u9fff]")
 _LEADER = re.compile(r"(?:\.\s?){4,}")
 
 SCHEMA = T.StructType(
@@ -115,9 +121,10 @@ def covered(tokens: list[int], least: int = 2) -> np.ndarray:
     return np.cumsum(out[:n]) > 0
 
 
-def _rest(text: str) -> tuple[int, int, int, int, int]:
-    """Visible characters of a text: clauses, data, links and tags, repeated words, all."""
-    visible = lambda s: sum(map(len, s.split()))
+def _cut(text: str) -> tuple[int, int, int, list[tuple[int, list[str], bool]]]:
+    """Visible characters of a text: all, links and tags, data; and the other units as (characters, words, whether it is built
+    like a sentence)."""
+    visible = lambda s: len("".join(s.split()))
     total = visible(text)
     links = 0
 
@@ -126,53 +133,122 @@ def _rest(text: str) -> tuple[int, int, int, int, int]:
         links += visible(m.group())
         return "\x00"
 
-    bare = _TAG.sub(take, _LINK.sub(take, _ANCHOR.sub(take, text)))
-    clause = data = 0
-    tokens: list[int] = []
-    sizes: list[int] = []
-    ids: dict[str, int] = {}
-    barrier = -1
+    bare = _ANCHOR.sub(take, text) if "<" in text else text
+    if "://" in bare or "www." in bare.lower():
+        bare = _LINK.sub(take, bare)
+    if "#" in bare or "＃" in bare:
+        bare = _TAG.sub(take, bare)
+    data = 0
+    units = []
     for part in _SPLIT.split(bare):
         size = visible(part.replace("\x00", ""))
         if not size:
             continue
         words = _WORD.findall(part)
-        codes = sum(w[0].isdigit() or any(c.isdigit() for c in w) for w in words)
-        wide = sum("\u3040" <= c <= "\u9fff" for c in part)
-        stopped = part.rstrip()[-1:] in ".!?。"
+        ascii = part.isascii()
+        some = _DIGIT.search(part) if ascii else any(map(str.isdigit, part))
+        codes = 0 if not some else len([w for w in words if _DIGIT.search(w)]) if ascii else len([w for w in words if any(map(str.isdigit, w))])
+        wide = 0 if ascii else len(_WIDE.findall(part))
         if _LEADER.search(part) or codes * 4 > len(words) or not words:
             data += size
-        elif stopped and (len(words) >= 4 or wide >= 6):
-            clause += size
         else:
-            # marks between words count with the word before them
-            loose = size - sum(map(len, words))
-            tokens.append(barrier)
-            sizes.append(0)
-            barrier -= 1
-            for k, w in enumerate(words):
-                tokens.append(ids.setdefault(w.lower(), len(ids)))
-                sizes.append(len(w) + (loose if k == len(words) - 1 else 0))
-    hit = covered(tokens)
-    return clause, data, links, int(np.array(sizes, dtype=np.int64)[hit].sum()) if len(tokens) else 0, total
+            units.append((size, words, part.rstrip()[-1:] in ".!?。" and (len(words) >= 4 or wide >= 6)))
+    return total, links, data, units
+
+
+def stuffed(units: list[tuple[int, ...]], page: list[int], least: float = 0.5) -> np.ndarray:
+    """Which units (words as integers from 1, each unit once per page) consist, to at least ``least`` of their words, of phrases
+    that are repeated within the unit, or of free phrases of the page: two to four words that stand between at least three
+    different words on either side, and one more for each hundred units. Words that only repeat with the whole sentence
+    around them, as in manuals, are not free."""
+    if not units:
+        return np.zeros(0, dtype=bool)
+    length = np.array([len(u) for u in units], dtype=np.int64)
+    pages = np.array(page, dtype=np.int64)
+    # one 0 before each unit and one at the end
+    unit = np.append(np.repeat(np.arange(len(units)), length + 1), len(units) - 1)
+    start = np.cumsum(length + 1) - length
+    tok = np.zeros(len(unit), dtype=np.int64)
+    inner = np.ones(len(unit), dtype=bool)
+    inner[start - 1] = inner[-1] = False
+    tok[inner] = np.fromiter((w for u in units for w in u), dtype=np.int64, count=int(length.sum()))
+    many = (3 + np.bincount(pages) // 100)[pages]
+    base = int(tok.max()) + 1
+    step = np.zeros(len(tok) + 1, dtype=np.int64)
 
+    def mark(at: np.ndarray, size: int) -> None:
+        np.add.at(step, at, 1)
+        np.add.at(step, at + size, -1)
 
-def _settled(u: Units, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: visible bytes in clauses, in all."""
-    clause = np.where(u.sentences(), u.filled, 0)
-    return np.bincount(u.doc, weights=clause, minlength=n), np.bincount(u.doc, weights=u.filled, minlength=n)
+    at = np.flatnonzero(inner)
+    gram = np.unique(pages[unit[at]] * base + tok[at], return_inverse=True)[1]
+    for size in (2, 3, 4):
+        on = tok[at + size - 1] > 0
+        at, gram = at[on], gram[on]
+        if not len(at):
+            break
+        _, gram, found = np.unique(gram * base + tok[at + size - 1], return_inverse=True, return_counts=True)
+        if size == 2:  # any longer repeat consists of repeated pairs
+            _, own, times = np.unique(unit[at] * len(found) + gram, return_inverse=True, return_counts=True)
+            mark(at[times[own] > 1], 2)
+        need = many[unit[at]]
+        sides = []
+        for x in (at - 1, at + size):
+            pairs = np.sort(gram * base + tok[x])
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            sides.append(np.bincount(pairs // base, minlength=len(found)))
+        mark(at[(sides[0][gram] >= need) & (sides[1][gram] >= need)], size)
+        on = (found[gram] >= need) & (tok[at + size] > 0)
+        at, gram = at[on], gram[on]
+    hit = (np.cumsum(step[:-1]) > 0) & inner
+    return np.bincount(unit, weights=hit, minlength=len(units)) >= least * np.maximum(length, 1)
+
+
+def _repeated(units: list[tuple[int, list[str]]]) -> int:
+    """Characters of units (characters, words) in repeated substrings of words."""
+    tokens: list[int] = []
+    sizes: list[int] = []
+    ids: dict[str, int] = {}
+    for k, (size, words) in enumerate(units):
+        tokens.append(-1 - k)
+        sizes.append(0)
+        for w in words:
+            tokens.append(ids.setdefault(w.lower(), len(ids)))
+            sizes.append(len(w))
+        sizes[-1] += size - sum(map(len, words))  # marks between words count with the last one
+    hit = covered(tokens)
+    return int(np.array(sizes, dtype=np.int64)[hit].sum()) if len(tokens) else 0
 
 
 def score(column: pa.Array, limit: float = 0.5) -> list[pa.Array]:
     n = len(column)
-    u = units_of(column)
-    clause, total = _settled(u, n)
     out = np.zeros((n, 5))
-    whole = np.divide(clause, total, out=np.zeros(n), where=total > 0)
-    out[:, 0] = whole
-    for i in np.flatnonzero((total > 0) & (whole < 1 - limit)):
-        c, d, links, again, size = _rest(column[int(i)].as_py())
-        out[i] = np.array([c, d, links, again, links + again]) / max(size, 1)
+    ids: dict[str, int] = defaultdict(count(1).__next__)
+    distinct: list[tuple[int, ...]] = []
+    page: list[int] = []
+    cuts = []
+    for i, text in enumerate(column.to_pylist()):
+        total, links, data, units = _cut(text or "")
+        seen: dict[tuple[int, ...], int] = {}
+        which = []
+        for _, words, sentence in units:
+            if not sentence:
+                which.append(-1)
+                continue
+            key = tuple(map(ids.__getitem__, "\n".join(words).lower().split("\n")))
+            if key not in seen:
+                seen[key] = len(distinct)
+                distinct.append(key)
+                page.append(i)
+            which.append(seen[key])
+        cuts.append((total, links, data, units, which))
+    clauses = ~stuffed(distinct, page)
+    for i, (total, links, data, units, which) in enumerate(cuts):
+        clause = sum(u[0] for u, k in zip(units, which) if k >= 0 and clauses[k])
+        again = 0
+        if clause + data < (1 - limit) * total:
+            again = _repeated([u[:2] for u, k in zip(units, which) if k < 0 or not clauses[k]])
+        out[i] = np.array([clause, data, links, again, links + again]) / max(total, 1)
     return [*[pa.array(out[:, k]) for k in range(5)], pa.array(out[:, 4] > limit)]
 
 

@@ -52,3 +52,21 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, SPAM[0], "x"), (1, SPAM[0], "x"), (2, None, "x"), (None, GOOD[3], "x")], "key int, t string, text string")
     assert sorted(r["is_spam"] for r in keyword_pages(df, "key", "t").collect()) == [False, False, True, True]
     assert keyword_pages(spark.createDataFrame([], df.schema), "key", "t").count() == 0
+
+
+FILL = [f"{a} {b}" for a in ("Paper", "Thunder", "Cobalt", "Lemon") for b in ("Lantern", "Compass", "Pylon", "Glacier", "Harbor")]
+STOPPED = [
+    " ".join(f"Joystick sale for {f} joystick sale, the joystick sale you want." for f in FILL),
+    "Joystick sale for Paper Lantern joystick sale, the joystick sale you want.\n" * 30,
+    " ".join(f"{v} used coin door lock {w} {f}." for f in FILL for v, w in (("Best", "at"), ("New", "near"), ("Top", "with"))),
+]
+MANUAL = [
+    " ".join(f"Record the serial number of the {f.lower()} in the maintenance log before returning it to the distributor." for f in FILL),
+    CLEAN * 3 + "Turn the coin door lock before you lift the coin door lock. " + CLEAN,
+    "".join(f"Sheet {w} shows how the {f.lower()} is held. " for f in FILL for w in ("one", "two")),
+]
+
+
+def test_keywords_in_stopped_sentences():
+    assert score(pa.array(SPAM + STOPPED))[-1].to_pylist() == [True] * len(SPAM + STOPPED)
+    assert score(pa.array(GOOD + MANUAL))[-1].to_pylist() == [False] * len(GOOD + MANUAL)
