@@ -243,5 +243,7 @@ ORACLE = {
     ranked AS (SELECT leaf, doc_id, row_number() OVER (PARTITION BY leaf ORDER BY score, doc_id) AS rank FROM scored)
     SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf FROM ranked WHERE rank <= 100 GROUP BY 1""",
     "cosine_topk": """SELECT vec_id, round(c, 6) AS cosine FROM (SELECT v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY c DESC, vec_id LIMIT 20""",
+    "cosine_topk_each": """WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)
+        SELECT query_id, vec_id, round(c, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, vec_id) <= 20""",
     "trust_rolling30": "SELECT event_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS 29 PRECEDING), 6) AS share FROM events",
 }

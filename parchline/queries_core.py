@@ -467,6 +467,14 @@ def cosine_topk(spark, d):
     return fusion.nearest(v, "vec_id", "embedding", list(q), 20).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+def cosine_topk_each(spark, d):
+    v = t(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0")
+    q = q.coalesce(max(1, q.rdd.getNumPartitions() // 20))
+    found = fusion.nearest_each(v, q, "vec_id", "embedding", 20)
+    return found.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
+
+
 def trust_rolling30(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("good"))
     return fusion.rolling_share(e, "user_id", "event_id", F.col("good")).select("event_id", F.round("share", 6).alias("share"))
@@ -483,7 +491,7 @@ search_badges if_score deduction_totals grade_distribution tq_score doc_rollup p
 skew_weighted_median default_copy_top1 generation_build generation_visible generation_gc generation_verify orphan_chunks copy_documents grouping_band
 text_sample document_details next_ordinal provisional_default chunk_metadata hit_citations text_page_counts recall_at_k snapshot_retention
 authority_resolve authority_conflicts pinned_revision stale_propagation request_replay mutation_fold outbox_status outbox_next job_claim_order
-audit_chain audit_chain_verify access_demand_tumbling access_sessions rrf_fusion cosine_topk trust_rolling30""".split()
+audit_chain audit_chain_verify access_demand_tumbling access_sessions rrf_fusion cosine_topk cosine_topk_each trust_rolling30""".split()
 QUERIES = {n: globals()[n] for n in _NAMES} | {n: _bm25(q) for n, q in BM25_QUERIES.items()}
 
 from parchline.oracle_core import ORACLE  # noqa: E402, F401

@@ -180,6 +180,21 @@ def test_fusion(spark):
     assert got["y"] == pytest.approx(1 / 62 + 1 / 61) and got["x"] == pytest.approx(1 / 61)
 
 
+def test_nearest_of_each_query(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(300, 8))
+    m[7] = m[40] = m[260]  # ties go to the lesser key
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(300, None), (301, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(5)
+    got = {}
+    for r in fusion.nearest_each(df, df.where("id % 20 = 0"), "id", "v", 4).collect():
+        got.setdefault(r["query_id"], []).append((-r["cosine"], r["id"]))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {q: sorted(zip((-np.round(u @ u[q], 12)).tolist(), range(300)))[:4] for q in range(0, 300, 20)}
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+    assert [i for _, i in sorted(got[40])][:3] == [7, 40, 260]
+
+
 def test_pixels(spark):
     flat = np.full((40, 40), 255, np.uint8)
     dots = flat.copy()
