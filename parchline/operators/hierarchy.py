@@ -34,7 +34,7 @@ class Hierarchy:
     """
 
     def __init__(self, spark: SparkSession, rows: DataFrame, tree: str = "tree", node: str = "id", parent: str = "parent", keep_segments: bool = True):
-        """``keep_segments``: carry the chain intervals, which only ``paths`` and ``descendants`` read."""
+        """``keep_segments``: carry the chain intervals, which only ``paths``, ``intervals`` and ``descendants`` read."""
         self.spark, self.keep_segments = spark, keep_segments
         self.scratch = Scratch(spark, "hierarchy")
         self._number(rows.select(F.col(tree).alias("tree"), F.col(node).cast("string").alias("id"), norm_ref(F.col(parent).cast("string")).alias("parent")))
@@ -165,6 +165,20 @@ class Hierarchy:
             .select("tree", "node_id", "path", F.when(F.col("path").isNotNull(), F.coalesce(F.col("size") - 1, F.lit(0))).alias("n_descendants"))
         )
 
+    def intervals(self) -> DataFrame:
+        """(tree, node_id, chain_head, upto, own): the node lies below every node of the chain at positions 0 to ``upto``. A node has
+        one own row, for the chain that it is on at position ``upto`` + 1, and one row for each chain above. So the descendants of v
+        are the nodes with a row of v's chain and ``upto`` of at least v's position; with at most log2(n) rows a node, no
+        pairs are written. Nodes on or under a loop have none."""
+        at = self.located().select("nid", "head", "pos")
+        roots = self.ids.select("nid").join(self.edges.select("nid"), "nid", "left_anti").select("nid", F.col("nid").alias("head"), F.lit(0).cast("bigint").alias("pos"))
+        at = self.scratch.save(at.unionByName(roots), "at")
+        cross = self.attached.select(F.col("nid").alias("below"), F.explode("segments").alias("s"))
+        above = at.select("nid", F.col("head").alias("below")).join(cross, "below").select("nid", "s.head", "s.upto", F.lit(False).alias("own"))
+        rows = at.select("nid", "head", (F.col("pos") - 1).alias("upto"), F.lit(True).alias("own")).unionByName(above)
+        heads = self.ids.select(F.col("nid").alias("head"), F.col("id").alias("chain_head"))
+        return rows.join(heads, "head").join(self.ids.select("nid", "tree", F.col("id").alias("node_id")), "nid").select("tree", "node_id", "chain_head", "upto", "own")
+
     def descendants(self, of: DataFrame) -> DataFrame:
         """(tree, node_id, descendant_id) for the nodes in ``of`` (tree, node_id), from chain intervals: a node lies
         below v if it is further down v's chain, or its path leaves v's chain at or below v."""

@@ -42,7 +42,13 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     return _forest(spark, d, True).paths()
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_paths": p3_paths}
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants of every node as chain intervals: of v those with a row of v's chain and ``upto`` >= v's position, which is
+    ``upto`` + 1 in v's own row."""
+    return _forest(spark, d, True).intervals()
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
 
 _P2 = """
 WITH refs AS (

@@ -106,3 +106,19 @@ def test_hierarchy_random(spark):
 def test_hierarchy_empty_and_plain(spark):
     assert forest(spark, []).nodes().count() == 0
     assert [tuple(r) for r in forest(spark, [("t", "a", None, "q")], keep_segments=False).nodes().collect()] == [("t", "a", "a", 0)]
+
+
+def test_descendants_of_whole_tables(spark, data):
+    import __spark_entry__ as entry
+    from oracle import connect
+    from parchline.queries_data import _P3
+
+    rows = entry.queries()["p3_descendants"](spark, data).collect()
+    below = {}
+    for r in rows:
+        below.setdefault((r["tree"], r["chain_head"]), []).append((r["upto"], r["node_id"]))
+    mine = sorted((r["tree"], r["node_id"], w) for r in rows if r["own"] for upto, w in below[r["tree"], r["chain_head"]] if upto >= r["upto"] + 1)
+    up = _P3 + ", pairs AS (SELECT tree, id AS d, parent AS a FROM linked WHERE parent IS NOT NULL AND (tree, id) IN (SELECT (tree, id) FROM walk) UNION ALL SELECT p.tree, p.d, l.parent FROM pairs p JOIN linked l ON l.tree = p.tree AND l.id = p.a WHERE l.parent IS NOT NULL)"
+    theirs = sorted(connect(data).execute(up + " SELECT tree, a, d FROM pairs").fetchall())
+    assert mine == theirs and mine
+    assert len([r for r in rows if r["own"]]) == connect(data).execute(_P3 + " SELECT count(*) FROM walk").fetchone()[0]
