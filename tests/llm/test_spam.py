@@ -70,3 +70,10 @@ MANUAL = [
 def test_keywords_in_stopped_sentences():
     assert score(pa.array(SPAM + STOPPED))[-1].to_pylist() == [True] * len(SPAM + STOPPED)
     assert score(pa.array(GOOD + MANUAL))[-1].to_pylist() == [False] * len(GOOD + MANUAL)
+
+
+def test_one_definition_of_clauses():
+    lines = "\n".join(f"{w} cheap used cabinet parts" for w in ("buy", "get", "find", "order") * 10) + " today."
+    links = "\n".join(f"Visit our shop at https://shop.example/{'a' * 60}{i} now." for i in range(20))
+    got = [x.to_pylist() for x in score(pa.array([lines, links]))]
+    assert got[-1] == [True, True] and max(got[0]) < 0.4
