@@ -143,7 +143,7 @@ def lexicon(pages: DataFrame, text: str) -> DataFrame:
 
 def correction(word: str, n: int, known: dict[str, int], times: int = 20) -> str | None:
     """The word that ``word`` is a misreading of, by one or else two confusions: the most frequent one, at least
-    ``times`` as frequent as the word itself."""
+    ``times`` as frequent as the word itself, however frequent that is."""
     digits = sum(map(str.isdigit, word))
     if len(word) < 3 or 2 * digits >= len(word):
         return None
@@ -159,7 +159,7 @@ def correction(word: str, n: int, known: dict[str, int], times: int = 20) -> str
 
     once = undo(word)
     best = max(((known[c], c) for c in once if c in known), default=None)
-    if best is None and n * 5 < times and len(word) > 5 and word not in known:
+    if best is None and len(word) > 5:
         best = max(((known[c], c) for w in once for c in undo(w) if c in known and c != word), default=None)
     return best[1] if best and best[0] >= times * n and best[0] >= 5 else None
 

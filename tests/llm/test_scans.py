@@ -60,3 +60,9 @@ def test_shapes():
     for line, want in (("- 12 -", "number"), ("iv", "number"), ("3 / 18", "number"), ("Seite 7", "paged"), ("Druvane Electric · Form 8516", "form"), ("Chapter 1  Walrus wiring", "chapter"), ("5.1 Pelican removal", "heading"),
                        ("Lemon Ferret installation guide", "title"), ("4    Lemon Compass Service Manual", "title"), ("W63   2SC1815   167 V", "row"), ("moves until it rests.", "text")):
         assert S.shape_of(line, 60) == want, line
+
+
+def test_two_confusions_at_any_size():
+    small, large = {"voltage": 40}, {"voltage": 400, "yoltagc": 20}
+    assert S.correction("yoltagc", 2, small) == S.correction("yoltagc", 20, large) == "voltage"
+    assert S.correction("yoltagc", 21, large) is None
