@@ -10,7 +10,7 @@ next page; the hyphen stays if the hyphenated form is the one that occurs within
 two letter confusions gives a word that is many times as frequent.
 
 Pages meet only by (copy, page) and (copy, edge line), never by copy, so a copy with a third of the pages is no hot key;
-what is broadcast is the model and the ``known_words`` most frequent words, everything rarer is joined.
+what is broadcast is the model and the ``known_words`` most frequent words, rarer words, as misread forms and as targets, are joined.
 
 Defined results: null and empty texts have no lines; texts whose lines are not broken at a page width are not scans, whatever
 ``text_origin`` says, and are left as they are; repeated pages count once; a last hyphen without a next page counts as divided.
@@ -141,38 +141,81 @@ def lexicon(pages: DataFrame, text: str) -> DataFrame:
     return pages.select(text).mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def correction(word: str, n: int, known: dict[str, int], times: int = 20) -> str | None:
-    """The word that ``word`` is a misreading of, by one or else two confusions: the most frequent one, at least
-    ``times`` as frequent as the word itself, however frequent that is."""
+TIMES, LEAST = 20, 5
+
+
+def _undo(word: str) -> set[str]:
+    """The word with one confusion undone."""
+    out = set()
+    for read, printed in CONFUSED:
+        at = word.find(read)
+        while at >= 0:
+            out.add(word[:at] + printed + word[at + len(read) :])
+            at = word.find(read, at + 1)
+    return out
+
+
+def _undone(word: str) -> tuple[set[str], set[str]]:
+    """The forms that ``word`` may be a misreading of, by one and by two confusions."""
     digits = sum(map(str.isdigit, word))
     if len(word) < 3 or 2 * digits >= len(word):
-        return None
-
-    def undo(w: str) -> set[str]:
-        out = set()
-        for read, printed in CONFUSED:
-            at = w.find(read)
-            while at >= 0:
-                out.add(w[:at] + printed + w[at + len(read) :])
-                at = w.find(read, at + 1)
-        return out
+        return set(), set()
+    once = _undo(word)
+    return once, {c for w in once for c in _undo(w) if c != word} if len(word) > 5 else set()
+
 
-    once = undo(word)
-    best = max(((known[c], c) for c in once if c in known), default=None)
-    if best is None and len(word) > 5:
-        best = max(((known[c], c) for w in once for c in undo(w) if c in known and c != word), default=None)
-    return best[1] if best and best[0] >= times * n and best[0] >= 5 else None
+def correction(word: str, n: int, known: dict[str, int], times: int = TIMES) -> str | None:
+    """The word that ``word`` is a misreading of, by one or else two confusions: the most frequent one, at least
+    ``times`` as frequent as the word itself, however frequent that is."""
+    for forms in _undone(word):
+        best = max(((known[c], c) for c in forms if c in known), default=None)
+        if best:
+            return best[1] if best[0] >= times * n and best[0] >= LEAST else None
+    return None
 
 
-def _corrections(known: dict[str, int]):
+def _corrections(known: dict[str, int], floor: int = -1):
+    """``floor`` from 0: only the words that have a form with one confusion undone above that count in ``known``."""
+    mine = lambda w: floor < 0 or any(known.get(c, 0) > floor for c in _undone(w)[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, c) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (c := correction(w, n, known))]
+            rows = [(w, c) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (c := correction(w, n, known)) and mine(w)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["word", "correct"])
 
     return run
 
 
+def _open_forms(known: dict[str, int]):
+    """(word, n, confusions, form) of the words that the lexicon's head ``known`` doesn't decide: none of its words above the
+    cut is one confusion away."""
+    floor = min(known.values(), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                once, twice = _undone(w)
+                if not any(known.get(c, 0) > floor for c in once):
+                    rows += [(w, n, 1, c) for c in once] + [(w, n, 2, c) for c in twice]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["word", "n", "confusions", "form"])
+
+    return run
+
+
+def corrections(seen: DataFrame, known: dict[str, int], whole: bool) -> DataFrame:
+    """(word, correct) of a lexicon. ``known`` is its head; if that isn't the whole of the words with n >= LEAST, the forms of
+    the words that it doesn't decide are joined with all of them."""
+    if whole:
+        return seen.mapInArrow(_corrections(known), "word string, correct string")
+    forms = seen.mapInArrow(_open_forms(known), "word string, n bigint, confusions int, form string")
+    target = seen.where(F.col("n") >= LEAST).select(F.col("word").alias("form"), F.col("n").alias("m"))
+    best = forms.join(target, "form").groupBy("word", "n").agg(F.max(F.struct(F.negative("confusions").alias("near"), "m", "form")).alias("b"))
+    joined = best.where(F.col("b.m") >= TIMES * F.col("n")).select("word", F.col("b.form").alias("correct"))
+    return seen.mapInArrow(_corrections(known, min(known.values(), default=0)), "word string, correct string").unionByName(joined)
+
+
 def _page_rows(good: frozenset[str]):
     """Texts to ``PAGE``: the features of lines and the words that matter, without the text."""
 
@@ -340,9 +383,10 @@ class ScanRepair:
         texts = pages.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(key).alias("page_id"), F.col(copy).alias("copy_id"), F.col(index).cast("int").alias("pdf_index"), F.col(text).alias("text"))
         self.texts = texts
         self.words_seen = self.scratch.save(lexicon(texts, "text"), "lexicon")
-        top = self.words_seen.where("n >= 5").orderBy(F.desc("n"), "word").limit(known_words).toArrow()
+        common = self.words_seen.where(F.col("n") >= LEAST)
+        top = common.orderBy(F.desc("n"), "word").limit(known_words).toArrow()
         known = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
-        self.words = self.scratch.save(self.words_seen.mapInArrow(_corrections(known), "word string, correct string"), "words")
+        self.words = self.scratch.save(corrections(self.words_seen, known, common.count() <= len(known)), "words")
         wrong = {r[0] for r in self.words.join(spark.createDataFrame([(w,) for w in known] or [("",)], "word string"), "word", "left_semi").select("word").collect()}
         rows = self.scratch.save(texts.mapInArrow(_page_rows(frozenset(known) - wrong), PAGE), "pages")
         edges = rows.select("page_id", "copy_id", F.explode("edges").alias("e")).select("page_id", "copy_id", "e.*")

@@ -66,3 +66,15 @@ def test_two_confusions_at_any_size():
     small, large = {"voltage": 40}, {"voltage": 400, "yoltagc": 20}
     assert S.correction("yoltagc", 2, small) == S.correction("yoltagc", 20, large) == "voltage"
     assert S.correction("yoltagc", 21, large) is None
+
+
+def test_words_below_the_head_are_targets_too(spark):
+    counts = {"the": 900, "and": 900, "voltage": 400, "yoltage": 3, "yoltagc": 2, "regulator": 100, "regu1ator": 4, "re9u1ator": 5, "modem": 100, "modern": 90, "rnodern": 1, "mode": 7}
+    seen = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    rows = lambda known, whole: sorted(map(tuple, S.corrections(seen, known, whole).collect()))
+    common = {w: n for w, n in counts.items() if n >= 5}
+    want = rows(common, True)
+    assert ("regu1ator", "regulator") in want and ("yoltagc", "voltage") in want
+    for size in (0, 1, 2, 3, 4, 5):
+        head = dict(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:size])
+        assert rows(head, False) == want, size
