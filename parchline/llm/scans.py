@@ -381,7 +381,7 @@ class ScanRepair:
     def __init__(self, spark: SparkSession, pages: DataFrame, key: str, copy: str, index: str, text: str, known_words: int = 200_000, sample_pages: int = 2000):
         self.scratch = Scratch(spark, "scans")
         texts = pages.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.col(key).alias("page_id"), F.col(copy).alias("copy_id"), F.col(index).cast("int").alias("pdf_index"), F.col(text).alias("text"))
-        self.texts = texts
+        texts = self.texts = self.scratch.save(texts.distinct(), "texts")  # repeated deliveries once, for every count below
         self.words_seen = self.scratch.save(lexicon(texts, "text"), "lexicon")
         common = self.words_seen.where(F.col("n") >= LEAST)
         top = common.orderBy(F.desc("n"), "word").limit(known_words).toArrow()

@@ -78,3 +78,11 @@ def test_words_below_the_head_are_targets_too(spark):
     for size in (0, 1, 2, 3, 4, 5):
         head = dict(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:size])
         assert rows(head, False) == want, size
+
+
+def test_repeated_deliveries_count_once(spark):
+    text = {k: "\n".join(v) for k, v in {"a": BODY, "b": ["the rneasured resistance of the", "transformer is high and the", "cabinet is closed."]}.items()}
+    once = [(f"p{i}", "c", i, text["a"], "w", 1) for i in range(40)] + [("odd", "e", 0, text["b"], "w", 1)]
+    often = once + [once[-1]] * 50
+    want, got = (sorted(map(tuple, repair(spark, rows).words.collect())) for rows in (once, often))
+    assert want == got and ("rneasured", "measured") in want
