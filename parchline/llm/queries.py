@@ -12,7 +12,7 @@ from parchline.llm.langid import label_languages, wrong_labels
 from parchline.llm.leaks import leaked_items
 from parchline.llm.packing import pack_documents
 from parchline.llm.scans import ScanRepair
-from parchline.llm.spam import keyword_pages
+from parchline.llm.spam import SHARES, keyword_pages
 from parchline.llm.splitter import split_oversized
 from parchline.llm.topn import latest_rows, top_n_per_group
 from parchline.session import Scratch
@@ -135,8 +135,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    shares = ["clause_share", "data_share", "link_share", "repeat_share", "spam_share"]
-    return keyword_pages(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in shares], "is_spam")
+    return keyword_pages(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in SHARES], "is_spam")
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from parchline.llm.spam import SuffixAutomaton, covered, keyword_pages, score
+from parchline.llm.spam import Automaton, keyword_pages, score
 
 CLEAN = "Clean the control panel with alcohol and let it dry for some minutes. "
 
@@ -19,19 +20,55 @@ def brute(t, least=2):
     return out
 
 
-def test_coverage_against_brute_force():
-    rng = random.Random(2)
-    for _ in range(200):
-        t = [rng.randrange(4) for _ in range(rng.randrange(0, 16))]
-        assert list(covered(t)) == brute(t), t
+def automaton(pages):
+    """Of pages as lists of units as lists of numbers, and the tokens' pages and units."""
+    units = [(p, u) for p, page in enumerate(pages) for u in page]
+    page = np.array([p for p, u in units for _ in u], dtype=np.int64)
+    unit = np.array([k for k, (_, u) in enumerate(units) for _ in u], dtype=np.int64)
+    word = np.array([w for _, u in units for w in u], dtype=np.uint64)
+    return Automaton(page, unit, word), page, unit
 
 
-def test_automaton_counts():
-    sa = SuffixAutomaton()
-    for i, c in enumerate([1, 2, 1, 2, 1]):
-        sa.extend(c, i)
-    sa.close()
-    assert sa.count[sa.next[0][1]] == 3 and len(sa.length) <= 10
+def test_coverage_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        pages = [[[rng.randrange(4) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 4))] for _ in range(3)]
+        sa, _, _ = automaton(pages)
+        want = []
+        for page in pages:  # a mark of its own before each unit keeps repeats within units
+            flat = [x for k, u in enumerate(page) for x in (-1 - k, *u)]
+            want += [c for c, x in zip(brute(flat), flat) if x >= 0]
+        assert list(sa.covered(np.ones(len(want), dtype=bool))) == want, pages
+
+
+def test_longest_repeat_at_every_place():
+    sa, _, _ = automaton([[[1, 2, 1, 2, 1]], [[1, 2]]])
+    assert list(sa.longest(np.ones(7, dtype=bool))) == [1, 2, 3, 2, 3, 0, 0]
+
+
+def test_free_phrases_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(40):
+        page = [[rng.randrange(5) for _ in range(rng.randrange(2, 12))] for _ in range(12)]
+        sa, _, unit = automaton([page])
+        got = sa.phrases(np.ones(len(unit), dtype=bool), unit, np.full(len(unit), 3))
+        left, right, want = {}, {}, []
+        for u in page:
+            for n in (2, 3, 4):
+                for i in range(len(u) - n + 1):
+                    g = tuple(u[i : i + n])
+                    left.setdefault(g, set()).add(u[i - 1] if i else None)
+                    right.setdefault(g, set()).add(u[i + n] if i + n < len(u) else None)
+        for u in page:
+            on = [False] * len(u)
+            pairs = [tuple(u[i : i + 2]) for i in range(len(u) - 1)]
+            for n in (2, 3, 4):
+                for i in range(len(u) - n + 1):
+                    g = tuple(u[i : i + n])
+                    if len(left[g]) >= 3 <= len(right[g]) or n == 2 and pairs.count(g) > 1:
+                        on[i : i + n] = [True] * n
+            want += on
+        assert list(got) == want, page
 
 
 SPAM = ["used cabinet cheap parts " * 30, "http://a.example/x/1\nhttp://b.example/y/2\n" * 9, CLEAN + "#neonsign #coindoor #lamps " * 20, '<a href="http://a.example/1">coin door</a> ' * 9,
