@@ -1,16 +1,18 @@
 """Text of scanned pages repaired into paragraphs.
 
-Lines are labelled header, body, break or footer by a hidden Markov model: the states can only follow one another from the
-top of a page to its bottom, and the emissions are layout features (shape of the line, distance from the edges, width,
-whether the line comes back on other pages of the copy, whether its number runs with the pages). The
-emissions start from a written table and are refitted by Viterbi training on a bounded sample of pages.
+Every line is labelled header, body, footer or break by a hidden Markov model: header, body and footer can only follow one
+another from the top of a page to its bottom, breaks (blank lines) stand within and between them. The emissions are
+layout features: shape of the line, width, distance from the edges, and whether the line comes back on other pages of the copy or
+its number runs with the pages. Shapes and recurrence have a table for lines near an edge and one for the others. The emissions start
+from a written table and are refitted by Viterbi training on a bounded sample of pages. Pages of a batch are labelled at once.
 
 Words come from a lexicon of all pages. A line that ends in a hyphen goes on in the next body line, if need be of the
 next page; the hyphen stays if the hyphenated form is the one that occurs within lines. A word is misread if undoing one or
-two letter confusions gives a word that is many times as frequent.
+two letter confusions gives a word that is many times as frequent. Paragraphs that go on on the next page are put together, over any
+number of pages.
 
-Pages meet only by (copy, page) and (copy, edge line), never by copy, so a copy with a third of the pages is no hot key;
-what is broadcast is the model and the ``known_words`` most frequent words, rarer words, as misread forms and as targets, are joined.
+Pages meet only by (copy, page) and (copy, line), never by copy, so a copy with a third of the pages is no hot key;
+what is broadcast is the model and the ``known_words`` most frequent words; rarer words, as misread forms and as targets, are joined.
 
 Defined results: null and empty texts have no lines; texts whose lines are not broken at a page width are not scans, whatever
 ``text_origin`` says, and are left as they are; repeated pages count once; a last hyphen without a next page counts as divided.
@@ -18,6 +20,7 @@ Defined results: null and empty texts have no lines; texts whose lines are not b
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,8 +55,10 @@ _HEADING = re.compile(r"\d+(?:\.\d+)+\.?\s+\S")
 _ROW = re.compile(r"\t|\S\s{3,}\S")
 _PAGE_ENDS = re.compile(r"^\d{1,5}\s{2,}|\s{2,}\d{1,5}$")
 
-HEAD, BODY, FOOT = 0, 1, 2
-#: refitted; counts of a written guess, (shape, edge) by state: edge 0 is the outermost line of its side, 1 the next, 2 further in
+HEAD, BODY, FOOT, BREAK = 0, 1, 2, 3
+#: lines with fewer others between them and an edge of the page have tables of their own
+NEAR = 3
+#: refitted; counts of a written guess, shape by state
 _GUESS = {
     HEAD: {"title": 8, "chapter": 8, "number": 1, "paged": 1, "form": 1, "row": 0.05, "heading": 0.05, "text": 0.02},
     BODY: {"title": 0.15, "chapter": 0.05, "number": 0.2, "paged": 0.1, "form": 0.02, "row": 2, "heading": 1, "text": 16},
@@ -93,34 +98,22 @@ def _skeleton(line: str) -> str:
     return re.sub(r"\d+", "#", re.sub(r"[\W_]+", " ", line.lower())).strip()
 
 
-def _page_number(line: str) -> int | None:
-    m = re.search(r"\d+", line)
-    return int(m.group()) if m else None
-
-
-def _edges(lines: list[str], index: int) -> list[tuple[str, int, str]]:
-    """(side, distance, key) of the outermost lines: what would come back on other pages of the copy."""
-    full = [x for x in lines if x.strip()]
-    out = []
-    for side, order in (("top", full), ("bottom", full[::-1])):
-        for k, line in enumerate(order[:2]):
-            s = line.strip()
-            number = _page_number(s)
-            if shape_of(s, 80) in ("number", "paged") and number is not None:
-                out.append((side, k, f"{_skeleton(s)}:{number - index}"))
-            else:
-                out.append((side, k, _skeleton(s)))
-    return out
+def _line_key(line: str, shape: str, index: int, upper: bool) -> int:
+    """What would come back on other pages of the copy, in the same half of the page: a line that looks like furniture without its
+    numbers, any other with them (rows of one table are alike without); of page numbers the distance from the page's index."""
+    number = re.search(r"\d+", line) if shape in ("number", "paged") else None
+    same = line if shape in ("row", "heading", "text") else _skeleton(line)
+    key = f"{'^' if upper else '_'}{same}" + (f":{int(number.group()) - index}" if number else "")
+    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+_WORDS_AT = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("word", T.StringType())]))
+#: ``line``, ``feature``, ``key`` and ``first`` (the first word) have an entry for each line with text
 PAGE = T.StructType(
     [
         T.StructField("page_id", T.StringType()), T.StructField("copy_id", T.StringType()), T.StructField("pdf_index", T.IntegerType()),
-        T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("feature", T.ArrayType(T.IntegerType())),
-        T.StructField("edges", T.ArrayType(T.StructType([T.StructField("side", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("key", T.StringType())]))),
-        T.StructField("tails", T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("word", T.StringType())]))),
-        T.StructField("heads", T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("word", T.StringType())]))),
-        T.StructField("rare", T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("word", T.StringType())]))),
+        T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("key", T.ArrayType(T.LongType())),
+        T.StructField("first", T.ArrayType(T.StringType())), T.StructField("tails", _WORDS_AT), T.StructField("rare", _WORDS_AT),
     ]
 )
 
@@ -130,7 +123,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in b.column(0).to_pylist():
             seen.update(_WORD.findall(_DIVIDED.sub(" ", t).lower()))
-    rows = [(w, n) for w, n in seen.items() if len(w) <= 60 and not w.isdigit()]
+    rows = [(w, n) for w, n in seen.items() if not w.isdigit()]
     for at in range(0, len(rows), 100_000):
         w, n = zip(*rows[at : at + 100_000], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
@@ -228,126 +221,128 @@ def _page_rows(good: frozenset[str]):
             return None
         width = max(len(lines[i].rstrip()) for i in full)
         n = len(full)
-        feature, tails, heads, rare = [], [], [], []
+        feature, keys, firsts, tails, rare = [], [], [], [], []
         after_tail = False
         for k, i in enumerate(full):
             line = lines[i]
-            # body lines in the middle of a page need no shape
-            edge = min(k, n - 1 - k)
-            shape = SHAPES.index(shape_of(line, width)) if edge < 3 else len(SHAPES) - 1
-            short = len(line.rstrip()) < 0.75 * width
-            feature.append(shape * 2 + short)
+            shape = shape_of(line, width)
+            feature.append(SHAPES.index(shape) * 2 + (len(line.rstrip()) < 0.75 * width))
+            keys.append(_line_key(line.strip(), shape, index or 0, 2 * k < n))
             tail = _TAIL.search(line) if line.rstrip()[-1] in HYPHENS else None
             if tail and not tail.group(1)[-1].isdigit():
-                tails.append((i + 1, tail.group(1)))
+                tails.append({"line": i + 1, "word": tail.group(1)})
             first = _FIRST.match(line)
-            if first and (after_tail or edge < 3 or tail):
-                heads.append((i + 1, first.group(1)))
+            firsts.append(first.group(1) if first else None)
             words = _WORD.findall(line.lower())
             if tail:
                 words = words[:-1]
             if after_tail:
                 words = words[1:]
-            odd = {w for w in words if w not in good and len(w) > 2 and not w.isdigit()}
-            rare.extend((i + 1, w) for w in odd)
+            rare.extend({"line": i + 1, "word": w} for w in sorted({w for w in words if w not in good and len(w) > 2 and not w.isdigit()}))
             after_tail = bool(tail)
-        return key, copy, index, [i + 1 for i in full], feature, _edges(lines, index or 0), tails, heads, rare
+        return key, copy, index, [i + 1 for i in full], feature, keys, firsts, tails, rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("line", pa.int32()), ("word", pa.string())]))
-        types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.struct([("side", pa.string()), ("k", pa.int32()), ("key", pa.string())])), pair, pair, pair]
-        names = {5: ("side", "k", "key"), 6: ("line", "word"), 7: ("line", "word"), 8: ("line", "word")}
+        types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pair, pair]
         for b in batches:
             rows = [r for x in zip(*[c.to_pylist() for c in b.columns], strict=True) if (r := one(*x)) is not None]
-            cols = []
-            for k, t in enumerate(types):
-                col = [r[k] for r in rows]
-                if k in names:
-                    col = [[dict(zip(names[k], x, strict=True)) for x in c] for c in col]
-                cols.append(pa.array(col, t))
-            yield pa.RecordBatch.from_arrays(cols, names=PAGE.names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=PAGE.names)
 
     return run
 
 
 class LineModel:
-    """The hidden Markov model. A line's observation is its (shape, short) and, on either side, its distance from
-    the edge (0, 1, further) and whether it comes back in the copy."""
+    """The hidden Markov model. A line's observation is its (shape, short), its distance from either edge (0, 1, further), and
+    whether it comes back in the copy; a blank line is observed as such and is a break."""
+
+    STAY, NEXT, SKIP = 0.0, -0.7, -4.0
 
     def __init__(self) -> None:
-        self.shape = np.zeros((3, 2 * len(SHAPES)))
+        shape = np.zeros((3, 2 * len(SHAPES)))
         for state, row in _GUESS.items():
             for s, v in row.items():
-                self.shape[state, 2 * SHAPES.index(s)] = v * (0.2 if state != BODY else 0.8)
-                self.shape[state, 2 * SHAPES.index(s) + 1] = v * (0.8 if state != BODY else 0.2)
+                shape[state, 2 * SHAPES.index(s)] = v * (0.2 if state != BODY else 0.8)
+                shape[state, 2 * SHAPES.index(s) + 1] = v * (0.8 if state != BODY else 0.2)
         # P(distance from the top, from the bottom | state) and P(comes back | state)
         self.top = np.array([[0.9, 0.09, 0.01], [0.05, 0.06, 0.89], [0.01, 0.02, 0.97]])
         self.bottom = np.array([[0.01, 0.02, 0.97], [0.05, 0.06, 0.89], [0.9, 0.09, 0.01]])
-        self.again = np.array([[0.4, 0.6], [0.98, 0.02], [0.4, 0.6]])
+        self.shape = np.stack([shape, shape])  # near an edge, and not
+        self.again = np.stack([np.array([[0.4, 0.6], [0.98, 0.02], [0.4, 0.6]])] * 2)
         self._norm()
 
     def _norm(self) -> None:
-        self.shape = (self.shape + 1e-3) / (self.shape + 1e-3).sum(axis=1, keepdims=True)
+        self.shape = (self.shape + 1e-3) / (self.shape + 1e-3).sum(axis=2, keepdims=True)
+        self.again = self.again / self.again.sum(axis=2, keepdims=True)
         self.log = [np.log(x) for x in (self.shape, self.top, self.bottom, self.again)]
 
-    def label(self, feature: list[int], again_top: list[bool], again_bottom: list[bool]) -> list[int]:
-        """Viterbi over the lines with text; states may stay or go on from header to body to footer. Lines further than two
-        from both edges are body whatever they look like, as the distances say."""
-        n = len(feature)
-        out = [BODY] * n
-        at = [k for k in range(n) if k < 3 or n - 1 - k < 3]
-        score = np.array([0.0, -0.5, -6.0])
-        back = []
-        for j, k in enumerate(at):
-            up, down = min(k, 2), min(n - 1 - k, 2)
-            seen = int((k < 2 and again_top[k]) or (n - 1 - k < 2 and again_bottom[n - 1 - k]))
-            emit = self.log[0][:, feature[k]] + self.log[1][:, up] + self.log[2][:, down] + self.log[3][:, seen]
-            if n <= 2:  # with one or two lines the edges say nothing
-                emit = self.log[0][:, feature[k]] + self.log[3][:, seen]
-            if j:
-                step = np.full((3, 3), -np.inf)
-                for a in range(3):
-                    step[a, a] = score[a]
-                    if a < 2:
-                        step[a, a + 1] = score[a] - 0.7
-                step[0, 2] = score[0] - 4
-                back.append(step.argmax(axis=0))
-                score = step.max(axis=0)
-            score = score + emit
-        s = int(score.argmax())
-        for j in range(len(at) - 1, -1, -1):
-            out[at[j]] = s
-            if j:
-                s = int(back[j - 1][s])
+    @staticmethod
+    def places(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pages of ``size`` lines with text: each line's number from the top and from the bottom, and whether it is far from both."""
+        start = np.cumsum(size) - size
+        up = np.arange(int(size.sum())) - np.repeat(start, size)
+        down = np.repeat(size, size) - 1 - up
+        return up, down, (np.minimum(up, down) >= NEAR).astype(np.int64)
+
+    def label(self, size: np.ndarray, feature: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Viterbi over all lines with text of many pages at once: pages of ``size`` lines after one another. States may stay or go on
+        from header to body to footer, at a line or over a break alike, so breaks take no step of their own."""
+        if not len(feature):
+            return np.zeros(0, dtype=np.int8)
+        up, down, far = self.places(size)
+        emit = self.log[0][far, :, feature] + self.log[3][far, :, again]
+        few = np.repeat(size, size) <= 2  # with one or two lines the edges say nothing
+        emit += np.where(few[:, None], 0, self.log[1][:, np.minimum(up, 2)].T + self.log[2][:, np.minimum(down, 2)].T)
+        order = np.argsort(-size, kind="stable")
+        start, length = (np.cumsum(size) - size)[order], size[order]
+        back = np.zeros((len(feature), 3), dtype=np.int8)
+        score = np.array([0.0, -0.5, -6.0]) + emit[start]
+        for t in range(1, int(length[0])):
+            on = int(np.searchsorted(-length, -t, side="left"))  # pages that reach so far
+            at, s = start[:on] + t, score[:on]
+            body = np.stack([s[:, 0] + self.NEXT, s[:, 1] + self.STAY], axis=1)
+            foot = np.stack([s[:, 0] + self.SKIP, s[:, 1] + self.NEXT, s[:, 2] + self.STAY], axis=1)
+            back[at, 1], back[at, 2] = body.argmax(axis=1), foot.argmax(axis=1)
+            score[:on] = np.stack([s[:, 0] + self.STAY, body.max(axis=1), foot.max(axis=1)], axis=1) + emit[at]
+        out = np.zeros(len(feature), dtype=np.int8)
+        state = score.argmax(axis=1)
+        for t in range(int(length[0]) - 1, -1, -1):
+            on = int(np.searchsorted(-length, -t, side="left"))
+            at = start[:on] + t
+            out[at] = state[:on]
+            if t:
+                state[:on] = back[at, state[:on]]
         return out
 
-    def refit(self, pages: list[tuple[list[int], list[bool], list[bool]]], rounds: int = 2, prior: float = 20.0) -> "LineModel":
-        """Viterbi training: the emissions become those of the lines as they are labelled, with the guess as a prior."""
+    def refit(self, size: np.ndarray, feature: np.ndarray, again: np.ndarray, rounds: int = 2, prior: float = 20.0) -> "LineModel":
+        """Viterbi training: the emissions become those of all lines as they are labelled, with the guess as a prior."""
+        _, _, far = self.places(size)
         for _ in range(rounds):
-            shape, again = self.shape * prior, self.again * prior
-            for feature, top, bottom in pages:
-                n = len(feature)
-                for k, s in enumerate(self.label(feature, top, bottom)):
-                    if k < 3 or n - 1 - k < 3:
-                        shape[s, feature[k]] += 1
-                        again[s, int((k < 2 and top[k]) or (n - 1 - k < 2 and bottom[n - 1 - k]))] += 1
-            self.shape, self.again = shape, again / again.sum(axis=1, keepdims=True)
+            shape, back = self.shape * prior, self.again * prior
+            state = self.label(size, feature, again)
+            np.add.at(shape, (far, state, feature), 1)
+            np.add.at(back, (far, state, again), 1)
+            self.shape, self.again = shape, back
             self._norm()
         return self
 
 
-def _flags(row_edges: list[dict] | None) -> tuple[list[bool], list[bool]]:
-    top, bottom = [False, False], [False, False]
-    for e in row_edges or []:
-        (top if e["side"] == "top" else bottom)[e["k"]] = True
-    return top, bottom
+def _observed(lines: list[list[int]], features: list[list[int]], back: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, feature, again) of pages whose lines at the places ``back`` come back in the copy."""
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    feature = np.array([v for f in features for v in f], dtype=np.int64)
+    again = np.zeros(len(feature), dtype=np.int64)
+    for start, at in zip((np.cumsum(size) - size).tolist(), back, strict=True):
+        if at:
+            again[np.array(at) + start] = 1
+    return size, feature, again
 
 
 LABELLED = T.StructType(
     [
         T.StructField("page_id", T.StringType()), T.StructField("copy_id", T.StringType()), T.StructField("pdf_index", T.IntegerType()), T.StructField("furniture", T.ArrayType(T.IntegerType())),
         T.StructField("tails", T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))),
-        T.StructField("head", T.StringType()), T.StructField("rare", PAGE["rare"].dataType),
+        T.StructField("head", T.StringType()), T.StructField("rare", _WORDS_AT),
     ]
 )
 
@@ -358,14 +353,18 @@ def _label_rows(model: LineModel):
         trio = pa.list_(pa.struct([("line", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
         for b in batches:
             out: list[list] = [[] for _ in LABELLED]
-            for r in b.to_pylist():
-                states = model.label(r["feature"], *_flags(r["back"]))
-                body = [x for x, s in zip(r["line"], states, strict=True) if s == BODY]
-                off = {x for x, s in zip(r["line"], states, strict=True) if s != BODY}
-                word = {h["line"]: h["word"] for h in r["heads"]}
-                follow = dict(zip(body, body[1:], strict=False))
-                tails = [{"line": t["line"], "left": t["word"], "right": word.get(follow.get(t["line"]))} for t in r["tails"] if t["line"] not in off]
-                row = (r["page_id"], r["copy_id"], r["pdf_index"], sorted(off), tails, word.get(body[0]) if body else None, [w for w in r["rare"] if w["line"] not in off])
+            rows = b.to_pylist()
+            size, feature, again = _observed([r["line"] for r in rows], [r["feature"] for r in rows], [r["back"] for r in rows])
+            state = model.label(size, feature, again).tolist()
+            at = 0
+            for r in rows:
+                lines, states = r["line"], state[at : at + len(r["line"])]
+                at += len(lines)
+                body = [k for k, s in enumerate(states) if s == BODY]
+                off = {x for x, s in zip(lines, states, strict=True) if s != BODY}
+                follow = {lines[a]: r["first"][z] for a, z in zip(body, body[1:], strict=False)}
+                tails = [{"line": t["line"], "left": t["word"], "right": follow.get(t["line"])} for t in r["tails"] if t["line"] not in off]
+                row = (r["page_id"], r["copy_id"], r["pdf_index"], sorted(off), tails, r["first"][body[0]] if body else None, [w for w in r["rare"] if w["line"] not in off] if off else r["rare"])
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
             types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), trio, pa.string(), pair]
@@ -374,6 +373,18 @@ def _label_rows(model: LineModel):
     return run
 
 
+def line_states(model: LineModel, text: str, index: int = 0, back: list[int] | None = None) -> list[int]:
+    """The states of all lines of one page, breaks among them."""
+    lines = text.split("\n")
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    width = max((len(lines[i].rstrip()) for i in full), default=0)
+    feature = [SHAPES.index(shape_of(lines[i], width)) * 2 + (len(lines[i].rstrip()) < 0.75 * width) for i in full]
+    out = [BREAK] * len(lines)
+    for i, s in zip(full, model.label(*_observed([full], [feature], [back])).tolist(), strict=True):
+        out[i] = s
+    return out
+
+
 class ScanRepair:
     """Frames: ``labelled`` (per page: furniture lines, divided line ends, rare words), ``words`` (word, correct), ``hyphens``
     (page_id, line_no, left, right)."""
@@ -389,14 +400,14 @@ class ScanRepair:
         self.words = self.scratch.save(corrections(self.words_seen, known, common.count() <= len(known)), "words")
         wrong = {r[0] for r in self.words.join(spark.createDataFrame([(w,) for w in known] or [("",)], "word string"), "word", "left_semi").select("word").collect()}
         rows = self.scratch.save(texts.mapInArrow(_page_rows(frozenset(known) - wrong), PAGE), "pages")
-        edges = rows.select("page_id", "copy_id", F.explode("edges").alias("e")).select("page_id", "copy_id", "e.*")
-        often = edges.groupBy("copy_id", "side", "key").agg(F.count_distinct("page_id").alias("n")).where("n > 1").select("copy_id", "side", "key")
-        back = edges.join(often, ["copy_id", "side", "key"], "left_semi").groupBy("page_id").agg(F.collect_set(F.struct("side", "k")).alias("back"))
-        flagged = rows.drop("edges").join(back, "page_id", "left")
+        seen_at = rows.select("page_id", "copy_id", F.posexplode("key").alias("k", "key"))
+        often = seen_at.groupBy("copy_id", "key").agg(F.min("page_id").alias("least"), F.max("page_id").alias("most")).where("least < most").select("copy_id", "key")
+        back = seen_at.join(often, ["copy_id", "key"], "left_semi").groupBy("page_id").agg(F.collect_set("k").alias("back"))
+        flagged = rows.drop("key").join(back, "page_id", "left")
         n = rows.count()
         share = max(1, int(1_000_000 * min(1.0, sample_pages / max(n, 1))))
-        few = flagged.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share).select("feature", "back").toArrow().to_pylist()
-        model = LineModel().refit([(r["feature"], *_flags(r["back"])) for r in few])
+        few = flagged.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share).select("line", "feature", "back").toArrow().to_pydict()
+        model = LineModel().refit(*_observed(few["line"], few["feature"], few["back"]))
         self.labelled = self.scratch.save(flagged.mapInArrow(_label_rows(model), LABELLED), "labelled")
 
     def hyphens(self) -> DataFrame:
@@ -427,27 +438,78 @@ class ScanRepair:
         misread = odd.join(self.words, "word").select("page_id", "line_no", F.lit("misread").alias("kind"))
         return furniture.unionByName(divided).unionByName(misread).distinct()
 
-    def paragraphs(self) -> DataFrame:
-        """(page_id, paragraph_no from 1, text, open_end): scans in running paragraphs, other pages by their blank lines. An open
-        end goes on in the next page's first paragraph."""
+    def _fragments(self) -> DataFrame:
+        """The paragraphs of every page by itself: (page_id, copy_id, pdf_index, scan, number, text, begins, goes_on, glued): how surely it
+        goes on from the page before, how open it is at the page's end (0 to 2 both, linked from 3 together), and whether within a word."""
         odd = self.labelled.select("page_id", F.explode("rare").alias("r")).select("page_id", F.col("r.line").alias("line"), F.col("r.word").alias("word")).join(self.words, "word")
         fixes = odd.groupBy("page_id").agg(F.collect_set(F.struct("line", "word", "correct")).alias("fixes"))
         closed = self.hyphens().groupBy("page_id").agg(F.collect_set("line_no").alias("closed"))
         plan = self.labelled.groupBy("page_id").agg(F.first("furniture").alias("furniture"))
-        once = self.texts.groupBy("page_id").agg(F.first("text").alias("text"))
+        once = self.texts.groupBy("page_id").agg(F.min_by(F.struct("copy_id", "pdf_index", "text"), F.struct("text", "copy_id", "pdf_index")).alias("p")).select("page_id", "p.*")
         rows = once.join(plan, "page_id", "left").join(fixes, "page_id", "left").join(closed, "page_id", "left")
+        schema = "page_id string, copy_id string, pdf_index int, scan boolean, number int, text string, begins int, goes_on int, glued boolean"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
             for b in batches:
-                out: list[list] = [[], [], [], []]
+                out: list[tuple] = []
                 for r in b.to_pylist():
-                    parts = _reassemble(r["text"], set(r["furniture"] or []), r["fixes"] or [], set(r["closed"] or []))
-                    for k, p in enumerate(parts):
-                        for col, v in zip(out, (r["page_id"], k + 1, p, k == len(parts) - 1 and p[-1:] not in ".!?:。"), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.bool_()), strict=True)], names=["page_id", "paragraph_no", "text", "open_end"])
+                    scan = r["furniture"] is not None
+                    parts, begins, goes_on, glued = _reassemble(r["text"], set(r["furniture"] or []), r["fixes"] or [], set(r["closed"] or []))
+                    n = len(parts)
+                    out += [(r["page_id"], r["copy_id"], r["pdf_index"], scan, k + 1, p, begins if scan and not k else 0, goes_on if scan and k == n - 1 else 0, scan and k == n - 1 and glued) for k, p in enumerate(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
-        return rows.mapInArrow(run, "page_id string, paragraph_no int, text string, open_end boolean")
+        return rows.mapInArrow(run, schema)
+
+    def paragraphs(self) -> DataFrame:
+        """(page_id, paragraph_no from 1, text, pages): scans in running paragraphs, other pages by their blank lines. A paragraph that
+        goes on on the next page of its copy belongs to the page where it begins, and ``pages`` counts the pages that it is on."""
+        parts = self.scratch.save(self._fragments(), "fragments")
+        # of several rows for one page of a copy the one with the least id stands for it
+        lead = parts.where("scan AND number = 1 AND copy_id IS NOT NULL AND pdf_index IS NOT NULL").groupBy("copy_id", "pdf_index").agg(F.min("page_id").alias("page_id"))
+        ends = parts.where("goes_on > 0").join(lead, ["copy_id", "pdf_index", "page_id"]).select("copy_id", (F.col("pdf_index") + 1).alias("pdf_index"), F.col("page_id").alias("up"), F.col("number").alias("up_no"), "goes_on", F.col("glued").alias("inside"))
+        starts = parts.where("number = 1").join(lead, ["copy_id", "pdf_index", "page_id"]).select("copy_id", "pdf_index", "page_id", "begins")
+        links = starts.join(ends, ["copy_id", "pdf_index"]).where("begins > 0 AND begins + goes_on >= 3 OR inside")
+        links = self.scratch.save(links.select("page_id", "up", "up_no", F.lit(1).alias("far"), "inside"), "links")
+        # pointer jumping: over pages that are wholly within the paragraph
+        active, done = links.drop("inside"), []
+        known = active
+        while True:
+            look = known.select(F.col("page_id").alias("via"), F.col("up").alias("up2"), F.col("up_no").alias("no2"), F.col("far").alias("more"))
+            # only a page's first paragraph can have come from the page before
+            step = active.join(look, (F.col("up") == F.col("via")) & (F.col("up_no") == 1), "left").select(
+                "page_id", F.coalesce("up2", "up").alias("up"), F.coalesce("no2", "up_no").alias("up_no"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("open")
+            )
+            step = self.scratch.save(step, "jump")
+            done.append(step.where("NOT open").drop("open"))
+            active = step.where("open").drop("open")
+            if not active.head(1):
+                break
+            known = active
+            for x in done:
+                known = known.unionByName(x)
+        heads = done[0]
+        for x in done[1:]:
+            heads = heads.unionByName(x)
+        heads = heads.join(links.select("page_id", "inside"), "page_id")
+        onward = links.select(F.col("up").alias("page_id"), F.col("up_no").alias("number"), F.lit(True).alias("linked"))
+        moved = parts.join(heads, "page_id", "left").join(onward, ["page_id", "number"], "left")
+        first = (F.col("number") == 1) & F.col("up").isNotNull()
+        whole = F.concat("text", F.when(F.col("glued") & F.col("linked").isNull() & ~F.col("text").rlike(f"[{HYPHENS}]$"), "-").otherwise(""))
+        placed = self.scratch.save(
+            moved.select(
+                F.when(first, F.col("up")).otherwise(F.col("page_id")).alias("page_id"),
+                # a paragraph that went to the page before leaves its number to the next one
+                F.when(first, F.col("up_no")).otherwise(F.col("number")).alias("no"), F.when(first, F.col("far")).otherwise(0).alias("far"),
+                F.when(first, F.col("inside")).otherwise(False).alias("inside"), whole.alias("text"), (F.col("up").isNotNull() & ~first).alias("after"), (first | F.col("linked").isNotNull()).alias("several"),
+            ),
+            "placed",
+        )
+        several = placed.where("several").groupBy("page_id", "no").agg(F.array_sort(F.collect_list(F.struct("far", "inside", "text"))).alias("p"), F.bool_or("after").alias("after"))
+        glue = F.aggregate("p", F.lit(""), lambda a, x: F.concat(a, F.when((x["far"] == 0) | x["inside"], "").otherwise(" "), x["text"]))
+        out = placed.where("NOT several").select("page_id", "no", "after", "text", F.lit(1).alias("pages")).unionByName(several.select("page_id", "no", "after", glue.alias("text"), F.size("p").alias("pages")))
+        return out.select("page_id", (F.col("no") - F.col("after").cast("int")).alias("paragraph_no"), "text", "pages")
 
 
 @lru_cache(maxsize=4096)
@@ -459,13 +521,16 @@ def _cased(found: str, correct: str) -> str:
     return correct.upper() if found.isupper() and len(found) > 1 else correct.capitalize() if found[:1].isupper() else correct
 
 
-def _reassemble(text: str, furniture: set[int], fixes: list[dict], closed: set[int]) -> list[str]:
+def _reassemble(text: str, furniture: set[int], fixes: list[dict], closed: set[int]) -> tuple[list[str], int, int, bool]:
+    """The paragraphs of a page; how surely the first goes on from the page before (2 with a small letter, 1 with another running line);
+    how open the last is (2 after a full line, 1 after a short one without a stop), and whether within a word."""
     lines = text.split("\n")
     for f in fixes:
         k = f["line"] - 1
         lines[k] = _whole_word(f["word"]).sub(lambda m, f=f: _cased(m.group(), f["correct"]), lines[k])
+    width = max((len(x.rstrip()) for k, x in enumerate(lines, 1) if k not in furniture), default=0)
     parts: list[str] = []
-    glue, fresh = "", True
+    glue, fresh, begins, goes_on = "", True, 0, 0
     for k, line in enumerate(lines, 1):
         if k in furniture:
             continue
@@ -475,12 +540,17 @@ def _reassemble(text: str, furniture: set[int], fixes: list[dict], closed: set[i
             continue
         indented = line[:2] == "  " and parts and parts[-1][-1:] in ".!?:。"
         row = bool(_ROW.search(s)) or bool(_HEADING.match(s))
+        if not parts:
+            begins = 0 if row or line[:2] == "  " else 2 if s[0].islower() or s[0] > "\u3040" else int(shape_of(line, width) == "text")
         if fresh and not glue or indented or row:
             parts.append(s)
         else:
             parts[-1] = parts[-1] + (glue if glue else " ") + s if glue != "\0" else parts[-1] + s
+        goes_on = 0 if row or s[-1] in ".!?:。" else 1 + (len(line.rstrip()) >= 0.75 * width)
         fresh, glue = row, ""
         if k in closed:
             parts[-1] = parts[-1].rstrip().rstrip(HYPHENS)
-            glue = "\0"
-    return parts
+            glue, goes_on = "\0", 2
+        elif s[-1] in HYPHENS and _TAIL.search(s):  # the hyphen stays, and no blank comes after it
+            glue, goes_on = "\0", 2
+    return parts, begins, goes_on, glue == "\0"

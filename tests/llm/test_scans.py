@@ -1,3 +1,5 @@
+import numpy as np
+
 from parchline.llm import scans as S
 
 BODY = [
@@ -36,13 +38,57 @@ def test_lines(spark):
     assert {(p, n) for p, n, k in got if k == "misread"} == {("mis", 1), ("mis", 2)}
 
 
-def test_paragraphs(spark):
+def paragraphs(r):
     got = {}
-    for r in repair(spark, build()).paragraphs().collect():
-        got.setdefault(r["page_id"], {})[r["paragraph_no"]] = (r["text"], r["open_end"])
-    assert got["hy"][1] == ("Replace the measured resistance of the back-door interlock and the transfor", True) or got["hy"][1][0].startswith("Replace the measured resistance of the back-")
-    assert got["mis"][1][0] == "Replace the transformer when the measured resistance is high and record the voltage."
-    assert got["p3"][1][0].startswith(BODY[0]) and "WALRUS" not in got["p3"][1][0]
+    for x in r.paragraphs().collect():
+        got.setdefault(x["page_id"], {})[x["paragraph_no"]] = (x["text"], x["pages"])
+    return got
+
+
+def test_paragraphs(spark):
+    got = paragraphs(repair(spark, build()))
+    assert got["hy"] == {1: ("Replace the measured resistance of the back-door interlock and the transformer when the voltage is high.", 2)}
+    assert "hz" not in got
+    assert got["mis"][1] == ("Replace the transformer when the measured resistance is high and record the voltage.", 1)
+    # these end in a full line without a stop, so each goes on on the next page
+    assert got["p0"][1][0].startswith(BODY[0]) and "WALRUS" not in got["p0"][1][0] and got["p0"][1][1] == 24
+    assert got["long"][1] == ("x" * 30_000 + "-" + "y" * 10, 1)  # no scan
+
+
+def test_paragraphs_over_many_pages(spark):
+    n = 9
+    rows = [(f"q{i}", "c", i, "\n".join(["GRANITE WALRUS SERVICE MANUAL", "", *([f"and part {w} of the cabinet is checked by the technician"] * 2), f"before the {w} trans-" if i % 2 else f"before the {w} lamp and", "", str(i + 1)]), "w", 1)
+            for i, w in enumerate("one two three four five six seven eight nine".split())]
+    rows[0] = ("q0", "c", 0, rows[0][3].replace("and part one", "First heading.\n\nAnd part one", 1), "w", 1)
+    rows[-1] = ("q8", "c", 8, "\n".join(["GRANITE WALRUS SERVICE MANUAL", "", "former is replaced.", "", "Another paragraph is here.", "", "9"]), "w", 1)
+    rows += [("words", "d", 0, "the transand the transformer and\nthe transformer is here.", "w", 1), ("z-again", "c", 3, rows[3][3], "late", 2)]
+    got = paragraphs(repair(spark, rows))
+    assert got["q0"][1] == ("First heading.", 1)
+    text, pages = got["q0"][2]
+    assert pages == n and text.startswith("And part one") and text.endswith("before the eight transformer is replaced.") and "WALRUS" not in text
+    assert got["q8"] == {1: ("Another paragraph is here.", 1)} and all(f"q{i}" not in got for i in range(1, 8))
+
+
+def test_header_of_five_lines(spark):
+    head = ["Granite Walrus Service Manual", "Lemon Glacier Division", "North Harbor Works", "Cobalt Lantern Series", "Section Seven Overview"]
+    rows = [(f"p{i}", "c", i, "\n".join([*head, "", *BODY, *BODY[::-1], f"record {i} is kept by the technician in the workshop.", "", str(i + 1)]), "w", 1) for i in range(30)]
+    r = repair(spark, rows)
+    assert {tuple(x) for x in r.lines().collect()} == {(f"p{i}", n, "furniture") for i in range(30) for n in (1, 2, 3, 4, 5, 15)}
+
+
+def test_breaks_are_states():
+    text = "\n".join(["GRANITE WALRUS SERVICE MANUAL", "", *BODY, "", *BODY, "", "- 7 -"])
+    assert S.line_states(S.LineModel(), text) == [S.HEAD, S.BREAK, *[S.BODY] * 3, S.BREAK, *[S.BODY] * 3, S.BREAK, S.FOOT]
+    assert S.line_states(S.LineModel(), "") == [S.BREAK]
+
+
+def test_pages_in_a_batch_are_labelled_as_alone():
+    rng = np.random.default_rng(1)
+    size = rng.integers(1, 40, 50)
+    feature, again = rng.integers(0, 2 * len(S.SHAPES), size.sum()), rng.integers(0, 2, size.sum())
+    model, start = S.LineModel(), np.cumsum(size) - size
+    alone = [model.label(size[k : k + 1], feature[s : s + size[k]], again[s : s + size[k]]) for k, s in enumerate(start)]
+    assert (np.concatenate(alone) == model.label(size, feature, again)).all()
 
 
 def test_empty_table(spark):
