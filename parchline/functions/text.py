@@ -7,10 +7,11 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchline.model.constants import CHUNK_OVERLAP, CHUNK_TOKENS, PHI_STRONG, PHI_WEAK, STOP_WORDS
+from parchline.model.constants import CHUNK_OVERLAP, CHUNK_TOKENS, COMMON_WORDS, PHI_STRONG, PHI_WEAK, STOP_WORDS
 
 #: Unicode white space for a Java character class; plain \s misses the no-break space
 BLANKS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# fixed values: reference designators and part numbers
 REFDES = r"^(?:[RCLQDJKWFY]|CR|IC|U|VR|TP|XT)\d{1,4}[A-Za-z]?$"
 PART_NUMBER = r"^[A-Z0-9][A-Z0-9-]{3,}$"
 
@@ -63,17 +64,17 @@ def words(text: Column) -> Column:
     return F.filter(bare, lambda x: x != "")
 
 
-def plausible(word: Column, lexicon: Column) -> Column:
-    """Whether a bare word could be one; null for what is not plain letters. ``lexicon`` is an array of known words."""
+def plausible(word: Column, lexicon: list[str] = COMMON_WORDS) -> Column:
+    """Whether a bare word could be one; null for what is not plain letters. ``lexicon`` are known words."""
     return (
         F.when(~word.rlike("^[a-z]+$"), F.lit(None).cast("boolean"))
-        .when(F.array_contains(lexicon, word) | (F.length(word) <= 2), True)
+        .when(word.isin(lexicon) | (F.length(word) <= 2), True)
         .when((F.length(word) > 20) | ~word.rlike("[aeiouy]") | word.rlike("[^aeiouy]{5,}"), False)
         .otherwise(True)
     )
 
 
-def garble_fraction(text: Column, lexicon: Column) -> Column:
+def garble_fraction(text: Column, lexicon: list[str] = COMMON_WORDS) -> Column:
     """Share of implausible words; null with fewer than five that count."""
     judged = F.filter(F.transform(words(text), lambda w: plausible(w, lexicon)), lambda p: p.isNotNull())
     return let(judged, lambda j: F.when(F.size(j) >= 5, F.size(F.filter(j, lambda p: ~p)) / F.size(j)))

@@ -19,6 +19,22 @@ PHI_STRONG = [
 ]
 PHI_WEAK = ["patient", "diagnosis", "clinical", "physician", "symptom", "treatment plan", "medical history", "lab result"]
 
+# fixed values: words that are never taken for garble
+COMMON_WORDS = """
+the of and to in a is that for it as was with be by on not he this are or his
+from at which but have an they you were her she all there their one we him been
+has when who will no more if out so up said what its about than into them can
+only other time new some could these two may first then do any like my now over
+such our man me even most made after also did many off before must well back
+through years where much your way down should because each just those people how
+too little good make world still see own men work long here get both between life
+being under never day same another know while last might us great old year come
+since against go came right used take three page section figure table manual
+board power supply circuit signal voltage input output ground test adjust check
+replace remove install connect wire switch control game play coin monitor video
+sound amplifier transistor resistor capacitor diode assembly parts list number
+""".split()
+
 # fixed values: image fidelity
 DPI_TARGET_SCHEMATIC, DPI_TARGET_TEXT, DPI_MAX_POINTS = 300.0, 220.0, 40.0
 DPI_LOW, DPI_LOW_POINTS = 150.0, 10.0

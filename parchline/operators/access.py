@@ -33,6 +33,18 @@ def filter_visible(df: DataFrame, grants: dict[str, str], active: bool = True) -
     return df.where(visible(grants, F.col("primary_domain"), F.col("additional_domains"), F.col("sensitivity"), active))
 
 
+def decode_domains(facts: Column) -> Column:
+    """Domains that came as a JSON list of text; null where it is no list."""
+    return F.from_json(facts, "array<string>")
+
+
+def check_documents(asked: DataFrame, documents: DataFrame, grants: dict[str, str], verbs: list[str], verb: str = "read", active: bool = True) -> DataFrame:
+    """The rows of ``documents`` for the ids in ``asked`` (document_id) that the caller may see. Absent and forbidden ones are both just
+    not there, so asking tells nothing."""
+    require_verb(verbs if active else [], verb)
+    return filter_visible(documents, grants, active).join(asked.select("document_id").distinct(), "document_id", "left_semi")
+
+
 def require_verb(verbs: list[str], verb: str) -> None:
     if verb not in verbs:
         raise PermissionError(verb)

@@ -1,8 +1,8 @@
 """Which of many records about an object holds.
 
-A record that another one supersedes is out. Of the rest the best-ranked principals count (owners first, then the given
+A record that another one about the same object supersedes is out. Of the rest the best-ranked principals count (owners first, then the given
 order). If they are one principal, its latest statement wins; if several, the latest recorded one wins only if no
-other takes effect later, else there is a conflict and no winner. One aggregate per object: no window sorts an
+other takes effect later, else there is a conflict and no winner. An object whose records are all superseded has neither winner nor conflict. One aggregate per object: no window sorts an
 object's records, so an object with very many records is reduced before the shuffle."""
 
 from __future__ import annotations
@@ -21,16 +21,19 @@ def principal_rank(principal: Column, owners: list[str], precedence: list[str])
     return F.when(principal.isin(owners), F.lit(0)).otherwise(F.lit(10_000_000)) + place
 
 
+KEYS = ["object_kind", "object_id"]
+
+
 def active_records(records: DataFrame) -> DataFrame:
-    """Records, once each, that none supersedes."""
+    """Records, once each, that no record about the same object supersedes."""
     once = records.distinct()
-    named = once.select(norm_ref("supersedes").alias("id")).where("id IS NOT NULL").distinct()
-    return once.join(named, "id", "left_anti")
+    named = once.select(*KEYS, norm_ref("supersedes").alias("id")).where("id IS NOT NULL").distinct()
+    return once.join(named, [*KEYS, "id"], "left_anti")
 
 
 def resolve(records: DataFrame, owners: list[str], precedence: list[str]) -> DataFrame:
     """(object_kind, object_id, winner, status, conflict, n_top): the record that holds for each object that has any."""
-    keys = ["object_kind", "object_id"]
+    keys = KEYS
     live = active_records(records).withColumn("rank", principal_rank(F.col("principal"), owners, precedence))
     best = live.groupBy(*keys).agg(F.min("rank").alias("rank"))
     top = live.join(best, [*keys, "rank"])
@@ -41,7 +44,9 @@ def resolve(records: DataFrame, owners: list[str], precedence: list[str]) -> Dat
         F.max_by(body, F.struct(effective, "recorded_at", "arrival")).alias("own"), F.max_by(body, F.struct("recorded_at", "arrival")).alias("last"),
     )
     chosen = F.when(F.col("principals") == 1, F.col("own")).when(F.col("last.effective") >= F.col("latest"), F.col("last"))
-    return agg.withColumn("c", chosen).select(*keys, F.col("c.id").alias("winner"), F.col("c.status").alias("status"), F.col("c").isNull().alias("conflict"), "n_top")
+    won = agg.withColumn("c", chosen).select(*keys, F.col("c.id").alias("winner"), F.col("c.status").alias("status"), F.col("c").isNull().alias("conflict"), "n_top")
+    none = records.select(*keys).distinct().join(won.select(*keys), keys, "left_anti")
+    return won.unionByName(none.select(*keys, *[F.lit(None).cast("string").alias(x) for x in ("winner", "status")], F.lit(False).alias("conflict"), F.lit(0).cast("bigint").alias("n_top")))
 
 
 def pinned_revisions(resolved: DataFrame, revisions: DataFrame, approved: str = "approved-for-use") -> DataFrame:

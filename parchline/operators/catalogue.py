@@ -11,7 +11,7 @@ from parchline.functions.refs import norm_ref
 def text_sample(pages: DataFrame, pages_per_copy: int = 3, chars: int = 20_000) -> DataFrame:
     """(copy_id, sample): the first pages with text of each copy, joined by blanks and cut. Only the pages in question are kept
     before they are gathered, so a copy of very many pages gathers no more than the others."""
-    text = pages.where("extracted_text IS NOT NULL AND extracted_text <> ''").select("id", "copy_id", "pdf_index", "extracted_text").distinct()
+    text = pages.where("extracted_text IS NOT NULL AND extracted_text <> ''").groupBy("id").agg(F.min(F.struct("copy_id", "pdf_index", "extracted_text")).alias("p")).select("id", "p.*")
     w = Window.partitionBy("copy_id").orderBy("pdf_index", "id")
     first = text.withColumn("k", F.row_number().over(w)).where(F.col("k") <= pages_per_copy)
     joined = first.groupBy("copy_id").agg(F.array_sort(F.collect_list(F.struct("k", "extracted_text"))).alias("p"))
@@ -60,6 +60,40 @@ def merge_keys(old: Column, new: Column, prefix: str = "ext.") -> Column:
 
 
 def beyond_retention(snapshots: DataFrame, by: list[str], at: str, keep: int = 14) -> DataFrame:
-    """Snapshots older than the newest ``keep`` of their group."""
+    """Snapshots older than the newest ``keep`` of their group; ``at`` is unique in a group. Only the newest of each task are sorted, to
+    find the oldest that stays."""
     w = Window.partitionBy(*by).orderBy(F.desc(at))
-    return snapshots.withColumn("age", F.row_number().over(w)).where(F.col("age") > keep)
+    newest = snapshots.select(*by, at).withColumn("age", F.row_number().over(w)).where(F.col("age") <= keep)
+    cut = newest.groupBy(*by).agg(F.min(at).alias("__cut"))
+    return snapshots.join(cut, by).where(F.col(at) < F.col("__cut")).drop("__cut")
+
+
+def object_documents(objects: DataFrame, documents: DataFrame, revisions: DataFrame, copies: DataFrame) -> DataFrame:
+    """(object_kind, object_id, document_id): documents, revisions and copies resolved to the document that they belong to."""
+    rev = revisions.select(F.lower("id").alias("rev"), "document_id").distinct()
+    own = documents.select(F.lit("document").alias("object_kind"), F.col("document_id").alias("object_id"), "document_id")
+    mine = rev.select(F.lit("revision").alias("object_kind"), F.col("rev").alias("object_id"), "document_id")
+    theirs = copies.select(F.col("id").alias("object_id"), norm_ref("revision_id").alias("rev")).join(rev, "rev").select(F.lit("copy").alias("object_kind"), "object_id", "document_id")
+    return objects.select("object_kind", "object_id").distinct().join(own.unionByName(mine).unionByName(theirs), ["object_kind", "object_id"])
+
+
+def primary_assets(links: DataFrame, assets: DataFrame) -> DataFrame:
+    """(copy_id, asset_id, media_type): of every copy the asset of its first ``primary`` link that leads to one."""
+    own = assets.groupBy(F.col("id").alias("asset_id")).agg(F.min("media_type").alias("media_type"))
+    told = links.where("relation = 'primary'").select("id", norm_ref("copy_id").alias("copy_id"), norm_ref("asset_id").alias("asset_id"), "arrived_at").where("copy_id IS NOT NULL")
+    return told.join(own, "asset_id").groupBy("copy_id").agg(F.min_by(F.struct("asset_id", "media_type"), F.struct("arrived_at", "id")).alias("a")).select("copy_id", "a.*")
+
+
+def document_records(documents: DataFrame, revisions: DataFrame, copies: DataFrame, authority: DataFrame, most: int = 1000) -> DataFrame:
+    """(document_id, title, revisions, authority): revisions by ordinal, each with its copies by age, and the document's authority records by
+    arrival. A record is read by a person: of one revision's copies and one document's records the first ``most`` are listed."""
+    c = copies.select(norm_ref("revision_id").alias("rev"), F.struct("created_at", "id", "source_class").alias("c"))
+    w = Window.partitionBy("rev").orderBy("c")
+    c = c.where("rev IS NOT NULL").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy("rev").agg(F.array_sort(F.collect_list("c")).alias("copies"))
+    rev = revisions.groupBy(F.lower("id").alias("rev")).agg(F.min("document_id").alias("document_id"), F.min("ordinal").alias("ordinal"), F.min("label").alias("label"))
+    none = F.array().cast(c.schema["copies"].dataType)
+    r = rev.join(c, "rev", "left").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), F.col("rev").alias("id"), "label", F.coalesce("copies", none).alias("copies")))).alias("revisions"))
+    a = authority.where("object_kind = 'document'").select(norm_ref("object_id").alias("document_id"), F.struct("arrival", "id", "principal", "status").alias("a")).distinct()
+    a = a.withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy("a"))).where(F.col("k") <= most).groupBy("document_id").agg(F.array_sort(F.collect_list("a")).alias("authority"))
+    out = documents.select("document_id", "title").join(r, "document_id", "left").join(a, "document_id", "left")
+    return out.withColumns({x: F.coalesce(x, F.array().cast(out.schema[x].dataType)) for x in ("revisions", "authority")})

@@ -1,23 +1,24 @@
 """Full-text search over postings.
 
-The index is a table (term, id, tf, positions), clustered by term when it is written, so a query reads only its own
-terms' files. A query is parsed on the driver into a tree and becomes joins of posting lists: AND meets lists on the document,
-OR unites, NOT is an anti join, a phrase and NEAR compare positions. Posting lists of common terms can be as long as the
-corpus, so all of these are shuffle joins that Spark narrows to broadcasts by measured size.
+The index is a table (term, id, tf, positions), sorted by term when it is written, so a query reads only the row groups and pages
+that hold its own terms (``plans.index``). A query is parsed on the driver into a tree. Its leaves (terms, prefixes, phrases, NEAR groups)
+are read once each, brought together by document in one aggregate, and the tree becomes a condition over the leaves that a
+document has. Phrases and NEAR compare positions. Lists of common terms can be as long as the corpus, so the joins of a
+phrase are shuffle joins that Spark narrows to broadcasts by measured size.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchline.functions.text import folding, search_terms
 from parchline.model.constants import BM25_B, BM25_K1, IDF_FLOOR
-from parchline.session import Scratch
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,10 +27,6 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return at.groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def document_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.size(search_terms(F.col(text))).alias("len")).where("len >= 0")
-
-
 @dataclass(frozen=True)
 class Term:
     text: str
@@ -63,10 +60,12 @@ def analyse(text: str) -> list[str]:
     return re.findall(r"[^\W_\-/.]*(?:[\-/.]|[^\W_])+", text.translate(table).lower())
 
 
-def parse(query: str):
-    """The query tree. A query that the grammar does not know is taken as one phrase."""
+def parse(query: str, columns: tuple[str, ...] = ("text",)):
+    """The query tree. A query that the grammar does not know is taken as one phrase. ``column:`` before a term or phrase names one of
+    ``columns``; as an index has one column of text, it restricts nothing."""
     try:
         items, at = [], 0
+        query = re.sub(rf"(?<![^\s(])(?:{'|'.join(map(re.escape, columns))})\s*:\s*(?=[\w\"(])", "", query)
         query = query.rstrip()
         while at < len(query):
             m = _LEX.match(query, at)
@@ -135,21 +134,33 @@ def _one(items):
 
 
 class Index:
-    """Postings, lengths and corpus statistics of one corpus. Statistics cover every row given, also inactive ones. The postings
-    are written once, so every list of a query reads them instead of the texts."""
-
-    def __init__(self, df: DataFrame, key: str, text: str):
-        self.key = key
-        scratch = Scratch(df.sparkSession, "index")
-        self.postings = scratch.save(postings(df, key, text), "postings")
-        self.lengths = scratch.save(self.postings.groupBy(key).agg(F.sum("tf").alias("len")), "lengths")
-        self.n_docs = df.where(F.col(text).isNotNull()).count()
-        self.avg_len = (self.lengths.agg(F.sum("len")).first()[0] or 0) / max(self.n_docs, 1) or 1.0
+    """Postings, lengths and corpus statistics of one corpus. Statistics cover every row given, also inactive ones."""
+
+    def __init__(self, key: str, postings: DataFrame, lengths: DataFrame, n_docs: int, avg_len: float):
+        self.key, self.postings, self.lengths, self.n_docs, self.avg_len = key, postings, lengths, n_docs, avg_len
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, text: str, path: str) -> "Index":
+        """Writes the index to ``path``, sorted by term, so a query's terms are found by the statistics of row groups and pages."""
+        told = df.where(F.col(text).isNotNull())
+        spread = postings(told, key, text).repartitionByRange("term", key).sortWithinPartitions("term", key)
+        spread.write.mode("overwrite").parquet(f"{path}/postings")
+        lengths = df.sparkSession.read.parquet(f"{path}/postings").groupBy(key).agg(F.sum("tf").alias("len"))
+        lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        told.agg(F.count("*").alias("n_docs")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        return cls.open(df.sparkSession, key, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, key: str, path: str) -> "Index":
+        """An index that was written before."""
+        lengths, n = spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/stats").first()[0]
+        return cls(key, spark.read.parquet(f"{path}/postings"), lengths, n, (lengths.agg(F.sum("len")).first()[0] or 0) / max(n, 1) or 1.0)
 
     def _list(self, term: str, prefix: bool = False) -> DataFrame:
-        """(key, tf) of one term, or of all terms with a prefix together."""
-        hit = self.postings.where(F.startswith("term", F.lit(term)) if prefix else F.col("term") == term)
-        return hit.groupBy(self.key).agg(F.sum("tf").alias("tf"))
+        """(key, tf) of one term, or of all terms with a prefix together. A term has one row per key already."""
+        if not prefix:
+            return self.postings.where(F.col("term") == term).select(self.key, "tf")
+        return self.postings.where(F.startswith("term", F.lit(term))).groupBy(self.key).agg(F.sum("tf").alias("tf"))
 
     def _places(self, terms: tuple[str, ...]) -> DataFrame:
         """Starts of the terms in a row."""
@@ -158,7 +169,7 @@ class Index:
         lists = [self.postings.where(F.col("term") == t).select(k, back(i).alias(f"p{i}")) for i, t in enumerate(terms)]
         all_of = reduce(lambda a, b: a.join(b, k), lists)
         starts = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(len(terms))])
-        return all_of.select(k, F.size(starts).alias("tf")).where("tf > 0")
+        return all_of.select(k, F.size(starts).cast("bigint").alias("tf")).where("tf > 0")
 
     def _near(self, terms: tuple[str, ...], distance: int) -> DataFrame:
         """Documents with a group of all terms in which no more than ``distance`` other tokens lie between first and last."""
@@ -170,9 +181,11 @@ class Index:
         full = reduce(lambda a, b: a & b, [x.isNotNull() for x in last])
         return hit.select(k, F.when(full, span).alias("gap")).where(F.col("gap") <= distance).groupBy(k).agg(F.count("*").alias("tf"))
 
-    def _leaves(self, tree) -> list:
+    def _leaves(self, tree, positive: bool = False) -> list:
+        """The leaves of a tree in order; ``positive``: of the parts that a match has."""
         if isinstance(tree, Bool):
-            return [x for p in (tree.parts[:1] if tree.op == "not" else tree.parts) for x in self._leaves(p)]
+            parts = tree.parts[:1] if tree.op == "not" and positive else tree.parts
+            return list(dict.fromkeys(x for p in parts for x in self._leaves(p, positive)))
         return [tree]
 
     def _docs(self, leaf) -> DataFrame:
@@ -180,43 +193,45 @@ class Index:
             return self._list(leaf.text, leaf.prefix)
         if isinstance(leaf, Near):
             return self._near(leaf.terms, leaf.distance)
+        if not leaf.terms:
+            return self.postings.where("false").select(self.key, "tf")
         return self._places(leaf.terms) if len(leaf.terms) != 1 else self._list(leaf.terms[0])
 
+    def _met(self, tree) -> tuple[list, DataFrame, DataFrame]:
+        """The leaves, (leaf, df), and (key, f0, f1, ...) with the frequency of each leaf in every document that matches."""
+        leaves = self._leaves(tree)
+        lists = reduce(DataFrame.unionAll, [self._docs(x).select(F.lit(n).alias("leaf"), self.key, "tf") for n, x in enumerate(leaves)])
+        if len(leaves) == 1:
+            by_doc = lists.select(self.key, F.col("tf").alias("f0"))
+        else:
+            by_doc = lists.groupBy(self.key).agg(*[F.sum(F.when(F.col("leaf") == n, F.col("tf"))).alias(f"f{n}") for n in range(len(leaves))])
+
+        def holds(t) -> Column:
+            if not isinstance(t, Bool):
+                return F.col(f"f{leaves.index(t)}").isNotNull()
+            parts = [holds(p) for p in t.parts]
+            return reduce(lambda a, b: a & b, parts) if t.op == "and" else reduce(lambda a, b: a | b, parts) if t.op == "or" else parts[0] & ~parts[1]
+
+        return leaves, lists.groupBy("leaf").agg(F.count("*").alias("df")), by_doc.where(holds(tree))
+
     def matching(self, tree) -> DataFrame:
         """Keys that satisfy the tree."""
-        k = self.key
-        if not isinstance(tree, Bool):
-            if isinstance(tree, Phrase) and not tree.terms:
-                return self.postings.select(k).where("false")
-            return self._docs(tree).select(k)
-        parts = [self.matching(p) for p in tree.parts]
-        if tree.op == "and":
-            return reduce(lambda a, b: a.join(b, k, "left_semi"), parts)
-        if tree.op == "or":
-            return reduce(DataFrame.unionAll, parts).distinct()
-        return parts[0].join(parts[1], k, "left_anti")
+        return self._met(tree)[2].select(self.key)
 
     def scored(self, query: str) -> DataFrame:
         """(key, score) of every match; lower is better. Scores of the query's positive parts add up."""
         tree = parse(query) if isinstance(query, str) else query
-        k = self.key
-        found = self.matching(tree)
-        leaves = [x for x in dict.fromkeys(self._leaves(tree)) if not (isinstance(x, Phrase) and not x.terms)]
-        if not leaves:
-            return found.select(k, F.lit(0.0).alias("score"))
-        lists = reduce(DataFrame.unionAll, [self._docs(leaf).select(F.lit(n).alias("leaf"), k, "tf") for n, leaf in enumerate(leaves)])
-        df = lists.groupBy("leaf").agg(F.count("*").alias("df"))
-        # one row per leaf of the query
-        hits = lists.join(found, k, "left_semi").join(F.broadcast(df), "leaf").join(self.lengths, k).withColumns({"n_docs": F.lit(self.n_docs), "avg_len": F.lit(self.avg_len)})
-        return hits.groupBy(k).agg(F.sum(bm25()).alias("score"))
-
-
-def bm25():
-    """Of columns tf, df, n_docs, len, avg_len."""
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("len") / F.col("avg_len"))
-    return -idf * F.col("tf") * F.lit(BM25_K1 + 1) / (F.col("tf") + norm)
+        leaves, df, met = self._met(tree)
+        counts = dict.fromkeys(range(len(leaves)), 0) | {r["leaf"]: r["df"] for r in df.collect()}  # a row per leaf of the query
+        mine = [n for n, x in enumerate(leaves) if x in self._leaves(tree, positive=True)]
+        parts = [F.when(F.col(f"f{n}").isNotNull(), bm25(F.col(f"f{n}"), counts[n], self.n_docs, F.col("len"), self.avg_len)).otherwise(0.0) for n in mine]
+        return met.join(self.lengths, self.key).select(self.key, reduce(lambda a, b: a + b, parts).alias("score"))
+
+
+def bm25(tf: Column, df: int, n_docs: int, length: Column, avg_len: float) -> Column:
+    idf = math.log((n_docs - df + 0.5) / (df + 0.5))
+    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * length / F.lit(avg_len))
+    return -F.lit(idf if idf > 0 else IDF_FLOOR) * tf * F.lit(BM25_K1 + 1) / (tf + norm)
 
 
 def top_hits(hits: DataFrame, key: str, limit: int) -> DataFrame:

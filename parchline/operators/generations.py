@@ -22,8 +22,9 @@ def default_copies(copies: DataFrame) -> DataFrame:
 def build_chunks(pages: DataFrame, copies: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     """(revision_id, copy_id, page_id, page_number, seq, text): chunk windows of the pages of every revision's default copy."""
     best = default_copies(copies)
-    text = pages.where("extracted_text IS NOT NULL AND extracted_text <> ''").select("id", "copy_id", "pdf_index", "extracted_text").distinct()
-    rows = text.join(best, "copy_id")
+    text = pages.where("extracted_text IS NOT NULL AND extracted_text <> ''").select("id", "copy_id", "pdf_index", "extracted_text").join(best, "copy_id")
+    # only pages of chosen copies are met by id, where their repeats go
+    rows = text.groupBy("id").agg(F.min(F.struct("revision_id", "copy_id", "pdf_index", "extracted_text")).alias("p")).select("id", "p.*")
     return rows.select("revision_id", "copy_id", F.col("id").alias("page_id"), (F.col("pdf_index") + 1).alias("page_number"), F.posexplode(chunk_windows(F.col("extracted_text"), size, overlap)).alias("seq", "text"))
 
 
@@ -46,3 +47,30 @@ def verify(chunks: DataFrame, revisions: DataFrame, text_pages: DataFrame) -> Da
     agg = c.groupBy("document_id", "generation").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("there").isNull()).alias("n_orphans"))
     out = agg.join(text_pages.select("document_id", "n_text_pages"), "document_id", "left")
     return out.withColumn("ok", ((F.col("n_chunks") > 0) | (F.coalesce("n_text_pages", F.lit(0)) == 0)) & (F.col("n_orphans") == 0)).drop("n_text_pages")
+
+
+def activate(pointers: DataFrame, requests: DataFrame) -> DataFrame:
+    """(document_id, generation, outcome, active_generation, collect_below): requests (document_id, generation) to activate a built
+    generation. Only the one after the pointer may: ``activated`` moves the pointer and asks for the removal of chunks below; any other
+    worker built against a pointer that has moved since, or is ahead of it: ``stale``. A document without pointer is at 0."""
+    r = requests.select("document_id", "generation").distinct().join(pointers.select("document_id", F.col("active_generation").alias("now")), "document_id", "left")
+    now = F.coalesce("now", F.lit(0))
+    done = F.col("generation") == now + 1
+    return r.select("document_id", "generation", F.when(done, "activated").otherwise("stale").alias("outcome"), F.when(done, F.col("generation")).otherwise(now).alias("active_generation"), F.when(done, F.col("generation")).alias("collect_below"))
+
+
+def moved_pointers(pointers: DataFrame, activated: DataFrame) -> DataFrame:
+    """Pointers after the activations that went through."""
+    new = activated.where("outcome = 'activated'").select("document_id", F.col("generation").alias("new"))
+    return pointers.join(new, "document_id", "full").select("document_id", F.coalesce("new", "active_generation").alias("active_generation"))
+
+
+def spot_check(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """(document_id, generation, token, spot_retrieval): the first token of four or more letters and digits of each generation's first
+    chunk, and whether the postings (id, term) lead from it to a chunk of that generation. True where no token qualifies."""
+    first = chunks.groupBy("document_id", "generation").agg(F.min_by("text", "id").alias("text"))
+    token = F.get(F.filter(F.split("text", r"\s+"), lambda x: x.rlike(r"^[A-Za-z0-9]{4,}$")), F.lit(0))
+    asked = first.select("document_id", "generation", token.alias("token"))
+    hit = chunks.select("id", "document_id", "generation").join(asked, ["document_id", "generation"]).join(postings, (postings["id"] == chunks["id"]) & (F.col("term") == F.lower("token"))).select("document_id", "generation").distinct().withColumn("hit", F.lit(True))
+    out = asked.join(hit, ["document_id", "generation"], "left")
+    return out.select("document_id", "generation", "token", (F.col("hit").isNotNull() | F.col("token").isNull()).alias("spot_retrieval"))

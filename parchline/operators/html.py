@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import unquote, urljoin
+from urllib.parse import urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,10 +17,34 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
 
 
-def directory_entry(href: Column) -> Column:
-    """A file or directory of an open listing: (name, is_dir); null for sort links, fragments, other sites and the parent."""
-    skip = (href == "") | href.rlike(r"^[?#/]") | href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (href.isin("../", ".."))
-    return F.when(~skip, F.struct(F.try_url_decode(F.regexp_replace(F.regexp_replace(href, "/$", ""), r"\+", "%2B")).alias("name"), F.endswith(href, F.lit("/")).alias("is_dir")))
+#: an anchor with a quoted href, and what stands in it
+ANCHOR_TEXT = ANCHOR + r"(.*?)</a\s*>"
+
+
+def anchors(html: Column) -> Column:
+    """(href, text) of every closed anchor in order; text without tags, blanks around it trimmed."""
+    hits = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR_TEXT), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR_TEXT), F.lit(2)).alias("text"))
+    return F.transform(hits, lambda x: F.struct(x["href"].alias("href"), F.trim(F.regexp_replace(x["text"], "<[^>]*>", "")).alias("text")))
+
+
+def directory_entry(href: Column, text: Column) -> Column:
+    """A file or directory of an open listing: (name, is_dir), the name being the last part of the path; null for sort links, fragments,
+    absolute links and the parent, by its href or its text."""
+    skip = (href == "") | href.rlike(r"^[?#]") | href.rlike(r"^https?://") | href.isin("../", "..", "/") | F.lower(text).isin("parent directory", "..")
+    last = F.substring_index(F.regexp_replace(href, "/+$", ""), "/", -1)
+    return F.when(~skip, F.struct(F.try_url_decode(F.regexp_replace(last, r"\+", "%2B")).alias("name"), F.endswith(href, F.lit("/")).alias("is_dir")))
+
+
+def url_join(base: Column, href: Column) -> Column:
+    """The absolute form of a link without dot segments: with a scheme as it is, with two slashes under the base's scheme, with one under
+    its host, else beside its last path part."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
+    return (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.substring_index(base, "//", 1), href)).when(href.startswith("/"), F.concat(origin, href))
+        .when(href == "", base).otherwise(F.concat(folder, href))
+    )
 
 
 class _Rows(HTMLParser):
@@ -77,6 +101,3 @@ def parse_listings(df, html: str, base_url: str, key: str):
     schema = T.StructType([T.StructField("k", df.schema[key].dataType), *LISTING.elementType.fields])
     return df.select(key, html, base_url).mapInArrow(run, schema).withColumnRenamed("k", key)
 
-
-def decoded(name: str) -> str:
-    return unquote(name)

@@ -20,6 +20,16 @@ def first_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return keyed.unionByName(df.where(F.col(key).isNull()).withColumn("replays", F.lit(0).cast("bigint")))
 
 
+def answers(df: DataFrame, key: str, order: list[str], result: str) -> DataFrame:
+    """Every request with the answer it gets: the result of the first one of its key, and whether that is a replay. Rows without a key are
+    answered each by itself. A key with very many requests is one row of the first answers, which all of them are joined with."""
+    at = F.struct(*order)
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(result), at).alias("__r"), F.min(at).alias("__at"))
+    met = df.join(first, key, "left")
+    again = F.col("__at").isNotNull() & (at != F.col("__at"))
+    return met.withColumns({result: F.when(F.col("__at").isNotNull(), F.col("__r")[result]).otherwise(F.col(result)), "replayed": F.coalesce(again, F.lit(False))}).drop("__r", "__at")
+
+
 def fold_versions(requests: DataFrame, obj: str = "object_id", order: str = "seq", expected: str = "expected_version", key: str = "idempotency_key") -> DataFrame:
     """Optimistic versions: requests of an object in order; one is applied if it expects the version the object then has,
     else it is a conflict; a key seen before is a replay. Adds (outcome, version). The order of one object's requests is the
@@ -135,3 +145,40 @@ def stale(edges: DataFrame, changed: DataFrame, max_hops: int | None = None) ->
     for x in out[1:]:
         done = done.unionAll(x)
     return done
+
+
+def segments(lines: DataFrame, number: str, line: str, most: int = 64 << 20) -> DataFrame:
+    """Lines with the ``segment`` (from 0) of the stream that they go to: a new one where ``most`` bytes have been written before a line.
+    Running sizes come from a global sort: sums per partition, then within partitions."""
+    size = F.octet_length(line) + 1
+    placed = Scratch(lines.sparkSession, "segments").save(lines.repartitionByRange(number).withColumn("__part", F.spark_partition_id()), "placed")
+    # a row per partition of the sort
+    sums = placed.groupBy("__part").agg(F.sum(size).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("__part", before.alias("__before"))
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("__part").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = placed.join(F.broadcast(offsets), "__part").withColumn("segment", F.floor((F.col("__before") + inside) / most).cast("bigint"))
+    return out.drop("__part", "__before")
+
+
+def audit_lines(chain: DataFrame, number: str = "line_no", body: str = "body") -> DataFrame:
+    """(line_no, line): the stored form of a hashed chain: one JSON object a line with body, prev and hash."""
+    line = F.concat(F.lit('{"body":'), body, F.lit(',"hash":"'), "hash", F.lit('","prev":"'), "prev", F.lit('"}'))
+    return chain.select(F.col(number).alias("line_no"), line.alias("line"))
+
+
+def write_audit(chain: DataFrame, path: str, most: int = 64 << 20) -> None:
+    """Appends the lines of a hashed chain to text files below ``path``, a folder for each segment; lines are in order within a file, and
+    the files of a segment by name."""
+    rows = segments(audit_lines(chain), "line_no", "line", most)
+    rows.repartitionByRange("segment", "line_no").sortWithinPartitions("segment", "line_no").select("segment", "line").write.mode("append").partitionBy("segment").text(path)
+
+
+def verify_lines(lines: DataFrame, start: str = "") -> DataFrame:
+    """(line_no, reason) of stored lines (line_no, line) that do not hold: ``unparseable``, ``prev mismatch`` if a line does not name the one
+    before it (also where that one is missing or unreadable), ``tampered`` if its own hash is wrong."""
+    parsed = lines.select("line_no", F.from_json("line", "hash string, prev string").alias("j"), F.regexp_extract("line", r'^\{"body":(.*),"hash":"[0-9a-f]*","prev":"[0-9a-f]*"\}$', 1).alias("body"))
+    fit = F.col("j.hash").isNotNull() & F.col("j.prev").isNotNull() & (F.col("body") != "")
+    good = parsed.where(fit).select("line_no", F.col("j.hash").alias("hash"), F.col("j.prev").alias("prev"), "body")
+    broken = parsed.where(~F.coalesce(fit, F.lit(False))).select("line_no", F.lit("unparseable").alias("reason"))
+    return broken.unionByName(verify_chain(good, start=start))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchline.model import constants as K
+from parchline.session import Scratch
 
 SCHEMATIC = ["schematic", "mixed"]
 TEXTUAL = ["text", "mixed"]
@@ -88,6 +89,12 @@ def roll_up(pages: DataFrame, by: str) -> DataFrame:
     )
 
 
+def adequate() -> tuple[Column, Column]:
+    """Adequacy of images and of texts from the means of a copy: if_text, if_schem, tq_text, tq_schem."""
+    at_least = lambda c, least: known(F.col(c)) >= least
+    return all_known(at_least("if_text", K.IMAGE_ADEQUATE), at_least("if_schem", K.IMAGE_ADEQUATE)), all_known(at_least("tq_text", K.TEXT_ADEQUATE), at_least("tq_schem", K.TEXT_ADEQUATE))
+
+
 def all_known(a: Column, b: Column) -> Column:
     """Conjunction over what is known; null if nothing is."""
     return F.when(a.isNull() & b.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(a, F.lit(True)) & F.coalesce(b, F.lit(True)))
@@ -156,7 +163,16 @@ def screening_sample(n: Column, most: int = K.SCREENING_PAGES) -> Column:
 
 
 def weighted_median(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
-    """Of each group the first value at which the running weight reaches half of the total."""
+    """Of each group the first value at which the running weight reaches half of the total; null values have no place, a null group is one.
+    Rows are range-partitioned by (group, value), so a group may fill many partitions; the weights per group and partition say
+    where the half lies, and only the rows of that partition are summed up one by one."""
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(by, value).agg(F.sum(weight).alias("__w"))
+    placed = Scratch(df.sparkSession, "median").save(rows.repartitionByRange(by, value).withColumn("__at", F.spark_partition_id()), "placed")
+    part = placed.groupBy(by, "__at").agg(F.sum("__w").alias("__sum"))
+    # as many rows as partitions that a group fills
     w = Window.partitionBy(by)
-    run = F.sum(weight).over(w.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__half", 2 * run >= F.sum(weight).over(w)).where("__half").groupBy(by).agg(F.min(value).alias(value))
+    before = F.sum("__sum").over(w.orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__sum")
+    half = part.select(by, "__at", "__sum", before.alias("__before"), F.sum("__sum").over(w).alias("__total")).where("2 * __before < __total AND 2 * (__before + __sum) >= __total")
+    here = placed.alias("a").join(half.alias("h"), F.col(f"a.{by}").eqNullSafe(F.col(f"h.{by}")) & (F.col("a.__at") == F.col("h.__at"))).select(f"a.{by}", f"a.{value}", "a.__w", "h.__before", "h.__total")
+    run = F.col("__before") + F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return here.withColumn("__half", 2 * run >= F.col("__total")).where("__half").groupBy(by).agg(F.min(value).alias(value))

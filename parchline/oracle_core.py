@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from parchline.functions.text import folding
-from parchline.model.constants import PHI_STRONG, PHI_WEAK, STOP_WORDS
+from parchline.model.constants import COMMON_WORDS, PHI_STRONG, PHI_WEAK, STOP_WORDS
 
 _FROM, _TO = folding()
 _TERMS = f"regexp_extract_all(lower(translate(text, '{_FROM}', '{_TO}')), '[\\p{{L}}\\p{{N}}\\p{{Co}}\\-/.]+')"
@@ -67,14 +67,15 @@ _REVS = "revs AS (SELECT DISTINCT lower(id) AS rev, document_id FROM revisions)"
 _RESOLVE = """
 WITH rec AS (SELECT DISTINCT * REPLACE (lower(status) AS status, lower(trim(object_id)) AS object_id) FROM authority_records),
 live AS (SELECT *, CASE WHEN principal = 'owner' THEN 0 ELSE 10000000 END + CASE principal WHEN 'svc-review' THEN 0 WHEN 'svc-intake' THEN 1 ELSE 1000000 END AS rnk, coalesce(effective_date, '') AS eff
-  FROM rec WHERE id NOT IN (SELECT lower(trim(supersedes)) FROM rec WHERE lower(trim(supersedes)) <> '')),
+  FROM rec WHERE NOT EXISTS (SELECT 1 FROM rec o WHERE o.object_kind = rec.object_kind AND o.object_id = rec.object_id AND lower(trim(o.supersedes)) = rec.id)),
 tops AS (SELECT * FROM (SELECT *, min(rnk) OVER (PARTITION BY object_kind, object_id) AS best FROM live) WHERE rnk = best),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY object_kind, object_id ORDER BY eff DESC, recorded_at DESC, arrival DESC) AS by_eff,
   row_number() OVER (PARTITION BY object_kind, object_id ORDER BY recorded_at DESC, arrival DESC) AS by_rec FROM tops),
 agg AS (SELECT object_kind, object_id, count(*) AS n_top, count(DISTINCT principal) AS k, max(eff) AS latest, max(CASE WHEN by_eff = 1 THEN id END) AS own, max(CASE WHEN by_eff = 1 THEN status END) AS own_status,
   max(CASE WHEN by_rec = 1 THEN id END) AS last_id, max(CASE WHEN by_rec = 1 THEN status END) AS last_status, max(CASE WHEN by_rec = 1 THEN eff END) AS last_eff FROM ranked GROUP BY 1, 2),
 resolved AS (SELECT object_kind, object_id, CASE WHEN k = 1 THEN own WHEN last_eff >= latest THEN last_id END AS winner, CASE WHEN k = 1 THEN own_status WHEN last_eff >= latest THEN last_status END AS status,
-  NOT (k = 1 OR last_eff >= latest) AS conflict, n_top FROM agg)
+  NOT (k = 1 OR last_eff >= latest) AS conflict, n_top FROM agg
+  UNION ALL SELECT object_kind, object_id, NULL, NULL, false, 0 FROM (SELECT DISTINCT object_kind, object_id FROM rec) WHERE (object_kind, object_id) NOT IN (SELECT (object_kind, object_id) FROM live))
 """
 _PINS = """, revs AS (SELECT id, min(document_id) AS document_id, max(ordinal) AS ordinal FROM revisions GROUP BY id),
 pins AS (SELECT document_id, arg_max(CASE WHEN status = 'approved-for-use' THEN id END, CASE WHEN status = 'approved-for-use' THEN lpad(CAST(coalesce(ordinal, -1) + 1 AS VARCHAR), 12, '0') || id END) AS revision_id, bool_or(conflict) AS conflict
@@ -101,9 +102,9 @@ won AS (SELECT *, list_reverse_sort([{', '.join('votes_' + k for k in STOP_WORDS
 named AS (SELECT *, CASE WHEN votes_n >= 10 AND s[1] >= 3 AND s[1] >= 1.5 * s[2] THEN CASE s[1] {' '.join(f"WHEN votes_{k} THEN '{k}'" for k in STOP_WORDS)} END END AS language FROM won),
 mix AS (SELECT doc_id, language, len(regexp_extract_all(text, '[\\x{{3040}}-\\x{{30ff}}]')) AS kana, len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) AS han, len(regexp_extract_all(text, '[A-Za-z]')) AS latin FROM named)
 """
-_LEX = ["the", "and", "that", "with", "this", "from", "have", "not", "are", "for", "page", "section", "figure", "table", "manual", "board", "power", "supply", "circuit", "signal", "voltage"]
 _WORDS = rf"list_filter(list_transform({_TOKENS}, lambda x: lower(trim(x, '.,;:()[]\"''!?'))), lambda x: regexp_full_match(x, '[a-z]+'))"
-_BAD = f"NOT list_contains({_LEX!r}, x) AND len(x) > 2 AND (len(x) > 20 OR NOT regexp_matches(x, '[aeiouy]') OR regexp_matches(x, '[^aeiouy]{{5,}}'))"
+_BAD = f"NOT list_contains({COMMON_WORDS!r}, x) AND len(x) > 2 AND (len(x) > 20 OR NOT regexp_matches(x, '[aeiouy]') OR regexp_matches(x, '[^aeiouy]{{5,}}'))"
+_A1, _A2 = (r"""regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', """ + f"{k})" for k in (1, 2))
 _HREF = r"""regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>', 1)"""
 
 _OUTBOX = """outbox AS (SELECT o_orderkey AS id, o_orderpriority AS kind, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS applied_at, o_custkey % 4 AS attempts,
@@ -133,8 +134,11 @@ ORACLE = {
     "phi_screen": f"SELECT doc_id, {_phi(['description of the symptom', 'monitor chassis'], ['technician', 'isopropyl', 'symptom'])} AS verdict FROM documents WHERE text IS NOT NULL",
     "phi_fixed_terms": f"SELECT {_phi(PHI_STRONG, PHI_WEAK)} AS verdict, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "html_links": f"SELECT doc_id, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS n, unnest(h) AS href FROM (SELECT doc_id, {_HREF} AS h FROM documents)",
-    "directory_entries": f"""WITH h AS (SELECT regexp_replace(unnest({_HREF}), '^http://[^/]*/', '') AS href FROM documents)
-        SELECT url_decode(regexp_replace(href, '/$', '')) AS name, suffix(href, '/') AS is_dir, count(*) AS n FROM h WHERE href <> '' AND NOT regexp_matches(href, '^[?#/]') AND NOT regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:') AND href NOT IN ('../', '..') GROUP BY ALL""",
+    "directory_entries": f"""WITH a AS (SELECT unnest(list_zip({_A1}, {_A2})) AS x FROM documents), b AS (SELECT struct_extract(x, 1) AS href, trim(regexp_replace(struct_extract(x, 2), '<[^>]*>', '', 'g')) AS t FROM a),
+        h AS (SELECT href, t FROM b UNION ALL SELECT regexp_replace(href, '^http://[^/]*', ''), t FROM b)
+        SELECT url_decode(string_split(regexp_replace(href, '/+$', ''), '/')[-1]) AS name, suffix(href, '/') AS is_dir, count(*) AS n FROM h WHERE href <> '' AND href[1] NOT IN ('?', '#') AND NOT starts_with(href, 'http://') AND NOT starts_with(href, 'https://')
+          AND href NOT IN ('../', '..', '/') AND lower(t) NOT IN ('parent directory', '..') GROUP BY ALL""",
+    "index_build": _INDEX.rstrip().rstrip(",") + " SELECT (SELECT count(*) FROM (SELECT DISTINCT term, doc_id FROM terms)) AS postings, (SELECT count(DISTINCT term) FROM terms) AS terms, (SELECT count(*) FROM terms) AS tokens, (SELECT n_docs FROM stats) AS documents",
     "bm25_single": _bm25(_leaf(0, "potentiometer"), _ANY),
     "bm25_and": _bm25(_leaf(0, "washers") + " UNION ALL " + _leaf(1, "gasket"), _BOTH),
     "bm25_or": _bm25(_leaf(0, "gasket") + " UNION ALL " + _leaf(1, "isopropyl"), _ANY),

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from parchline.operators.fulltext import Index, document_lengths, postings
+from pyspark.sql import DataFrame, SparkSession
 
+from parchline.operators.fulltext import Index
+from parchline.session import Scratch
 
-def write_index(df: DataFrame, key: str, text: str, path: str, partitions: int | None = None) -> None:
-    """Writes postings sorted by term, so a query's terms are found by the row groups' statistics, and document lengths."""
-    p = postings(df, key, text)
-    spread = p.repartitionByRange(partitions, "term") if partitions else p.repartitionByRange("term", key)
-    spread.sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    document_lengths(df, key, text).write.mode("overwrite").parquet(f"{path}/lengths")
+_BUILT: dict[tuple[str, str], tuple[str, str]] = {}
 
 
-def open_index(spark: SparkSession, key: str, path: str) -> Index:
-    out = Index.__new__(Index)
-    out.key = key
-    out.postings = spark.read.parquet(f"{path}/postings")
-    out.lengths = spark.read.parquet(f"{path}/lengths")
-    one = out.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
-    out.n_docs, out.avg_len = one["n"], one["a"] or 1.0
-    return out
+def stored(spark: SparkSession, name: str, corpus: Callable[[], DataFrame], key: str, text: str, fresh: bool = False) -> Index:
+    """The index called ``name`` of this application. It is built from ``corpus`` when it is first asked for, or ``fresh``, and opened after
+    that: a name stands for one state of a corpus. It lies in the shared folder until the application ends."""
+    at = (spark.sparkContext.applicationId, name)
+    if fresh or at not in _BUILT:
+        path = f"{Scratch(spark, 'index').base}/index"
+        index = Index.build(corpus(), key, text, path)
+        _BUILT[at] = (path, key)
+        return index
+    return Index.open(spark, _BUILT[at][1], _BUILT[at][0])

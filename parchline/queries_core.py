@@ -11,6 +11,7 @@ from parchline.functions import text as X
 from parchline.functions.refs import norm_ref
 from parchline.model import constants as K
 from parchline.functions.partitions import spread
+from parchline.plans.index import stored
 from parchline.operators import access, authority, catalogue, dedup, fulltext, fusion, generations, html, ledger, quality
 
 SHOP = {"archive": "internal"}
@@ -98,19 +99,14 @@ def language_detect(spark, d):
     return docs.select("doc_id", X.text_language(F.col("kana"), F.col("han"), F.col("latin"), X.vote_winner(F.col("v"))).alias("language"))
 
 
-#: words that count as known: a parameter of the garble measure
-LEXICON = ["the", "and", "that", "with", "this", "from", "have", "not", "are", "for", "page", "section", "figure", "table", "manual", "board", "power", "supply", "circuit", "signal", "voltage"]
-
-
 def garble_fraction(spark, d):
-    lex = F.array(*[F.lit(w) for w in LEXICON])
-    g = X.garble_fraction(F.col("text"), lex)
+    g = X.garble_fraction(F.col("text"))
     docs = documents(spark, d).select("doc_id", g.alias("g"))
     return docs.select("doc_id", F.round("g", 6).alias("garble"), F.coalesce(F.col("g") >= K.GARBLE_SUSPECT, F.lit(False)).alias("suspect"))
 
 
 def phi_screen(spark, d):
-    # of the fixed terms none is common here: the same operator with terms that occur
+    # a test of the operator's parameters, with terms that occur here; ``phi_fixed_terms`` has the fixed ones
     verdict = X.phi_verdict(F.col("text"), strong=["description of the symptom", "monitor chassis"], weak=["technician", "isopropyl", "symptom"])
     return documents(spark, d).select("doc_id", verdict.alias("verdict"))
 
@@ -124,16 +120,24 @@ def html_links(spark, d):
 
 
 def directory_entries(spark, d):
-    links = t(spark, d, "documents").select(F.explode(html.hrefs(F.col("text"))).alias("href"))
-    e = html.directory_entry(F.regexp_replace("href", "^http://[^/]*/", ""))
-    return links.select(e.alias("e")).where("e IS NOT NULL").groupBy("e.name", "e.is_dir").agg(F.count("*").alias("n"))
+    links = t(spark, d, "documents").select(F.explode(html.anchors(F.col("text"))).alias("a"))
+    # as it stands, and as a listing of the same host would have it
+    bare = links.withColumn("href", F.regexp_replace("a.href", "^http://[^/]*", ""))
+    e = F.explode(F.array(html.directory_entry(F.col("a.href"), F.col("a.text")), html.directory_entry(F.col("href"), F.col("a.text")))).alias("e")
+    return bare.select(e).where("e IS NOT NULL").groupBy("e.name", "e.is_dir").agg(F.count("*").alias("n"))
 
 
 # search
 
 
 def _index(spark, d):
-    return fulltext.Index(documents(spark, d), "doc_id", "text")
+    return stored(spark, f"documents of {d}", lambda: documents(spark, d), "doc_id", "text")
+
+
+def index_build(spark, d):
+    """Builds the index of all documents anew; what the searches of this application open from then on."""
+    index = stored(spark, f"documents of {d}", lambda: documents(spark, d), "doc_id", "text", fresh=True)
+    return index.postings.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("tokens")).withColumn("documents", F.lit(index.n_docs))
 
 
 def _bm25(query):
@@ -172,7 +176,7 @@ def search_badges(spark, d):
 
 
 def _scored_pages(spark, d):
-    p = t(spark, d, "page_results").drop("arrived_at").distinct()
+    p = t(spark, d, "page_results").select("id", "content_class", "effective_dpi", "sharpness", "speckle_index", "skew_deg", "is_1bit").distinct()
     cls = norm_ref("content_class")
     ded = quality.image_deductions(F.col("effective_dpi"), F.col("sharpness"), F.col("speckle_index"), F.col("skew_deg"), F.coalesce("is_1bit", F.lit(False)), F.coalesce(cls, F.lit("unknown")))
     return p.withColumns({"content_class": F.coalesce(cls, F.lit("unknown")), "deductions": ded, "image_score": quality.score(ded)})
@@ -206,7 +210,7 @@ def tq_score(spark, d):
 
 
 def _assessed(spark, d):
-    p = t(spark, d, "page_results").drop("arrived_at").distinct()
+    p = t(spark, d, "page_results").select("id", "copy_id", "pdf_index", "content_class", "assessed", "if_score", "tq_score", "tq_is_null", "skew_deg", "effective_dpi").distinct()
     return p.withColumns({"content_class": F.coalesce(norm_ref("content_class"), F.lit("unknown")), "assessed": F.coalesce("assessed", F.lit(False))})
 
 
@@ -249,17 +253,20 @@ def skew_weighted_median(spark, d):
 
 
 def default_copy_top1(spark, d):
-    return generations.default_copies(_latest_copies(spark, d))
+    return generations.default_copies(_latest_copies(spark, d, *_CHOICE))
+
+
+def _latest_copies(spark, d, *columns):
+    """Of each copy the row with the highest version, its ``columns`` only."""
+    c = t(spark, d, "copies").select("id", F.struct("row_version", *columns).alias("v"))
+    return c.groupBy("id").agg(F.max("v").alias("v")).select("id", *[f"v.{x}" for x in columns])
 
 
-def _latest_copies(spark, d):
-    c = t(spark, d, "copies").drop("arrived_at").distinct()
-    best = c.groupBy("id").agg(F.max("row_version").alias("row_version"))
-    return c.join(best, ["id", "row_version"])
+_CHOICE = ("revision_id", "is_document_default", "superseded", "fitness_text", "created_at")
 
 
 def generation_build(spark, d):
-    chunks = generations.build_chunks(t(spark, d, "page_results"), _latest_copies(spark, d))
+    chunks = generations.build_chunks(t(spark, d, "page_results"), _latest_copies(spark, d, *_CHOICE))
     return chunks.select("revision_id", "copy_id", "page_id", "page_number", "seq", F.md5("text").alias("md5"))
 
 
@@ -293,7 +300,7 @@ def orphan_chunks(spark, d):
 def copy_documents(spark, d):
     """Copies with the title and issuer of their document."""
     rev = t(spark, d, "revisions").select(F.lower("id").alias("revision_id"), "document_id", "ordinal", "label").distinct()
-    c = _latest_copies(spark, d).withColumn("revision_id", norm_ref("revision_id")).select(F.col("id").alias("copy_id"), "revision_id", "source_class")
+    c = _latest_copies(spark, d, "revision_id", "source_class").withColumn("revision_id", norm_ref("revision_id")).select(F.col("id").alias("copy_id"), "revision_id", "source_class")
     return c.join(rev, "revision_id").join(t(spark, d, "documents").select("document_id", "title", "issuer"), "document_id").select("copy_id", "revision_id", "document_id", "ordinal", "label", "title", "issuer", "source_class")
 
 
@@ -301,7 +308,7 @@ def grouping_band(spark, d):
     """Copies of one revision whose page counts lie within two per cent, as runs of the sorted counts rather than as pairs."""
     from pyspark.sql import Window
 
-    c = _latest_copies(spark, d).withColumn("revision_id", norm_ref("revision_id")).where("revision_id IS NOT NULL AND page_count > 0").groupBy("revision_id", "page_count").agg(F.count("*").alias("n"))
+    c = _latest_copies(spark, d, "revision_id", "page_count").withColumn("revision_id", norm_ref("revision_id")).where("revision_id IS NOT NULL AND page_count > 0").groupBy("revision_id", "page_count").agg(F.count("*").alias("n"))
     w = Window.partitionBy("revision_id").orderBy("page_count")
     gap = F.col("page_count") - F.lag("page_count").over(w)
     c = c.withColumn("fresh", F.when(gap.isNull() | (gap > 0.02 * F.col("page_count")), 1).otherwise(0))
@@ -321,7 +328,7 @@ def next_ordinal(spark, d):
 
 
 def provisional_default(spark, d):
-    return catalogue.provisional_defaults(_latest_copies(spark, d), t(spark, d, "revisions"))
+    return catalogue.provisional_defaults(_latest_copies(spark, d, "revision_id", "is_document_default", "created_at"), t(spark, d, "revisions"))
 
 
 def chunk_metadata(spark, d):
@@ -339,7 +346,7 @@ def text_page_counts(spark, d):
     """Pages with text per document."""
     p = t(spark, d, "page_results").where("extracted_text <> ''").select("id", "copy_id").distinct()
     rev = t(spark, d, "revisions").select(F.lower("id").alias("rev"), "document_id").distinct()
-    c = _latest_copies(spark, d).select(F.col("id").alias("copy_id"), norm_ref("revision_id").alias("rev")).join(rev, "rev")
+    c = _latest_copies(spark, d, "revision_id").select(F.col("id").alias("copy_id"), norm_ref("revision_id").alias("rev")).join(rev, "rev")
     return p.join(c, "copy_id").groupBy("document_id").agg(F.count("*").alias("n_text_pages"))
 
 
@@ -485,7 +492,7 @@ BM25_QUERIES = {
     "bm25_prefix": "potentio*", "bm25_near": "NEAR(washers gasket, 5)",
 }
 
-_NAMES = """access_filter_shop access_matrix_counts widening_audit dedup_assets dedup_context source_merge chunk_windows tokenize_df postings
+_NAMES = """access_filter_shop access_matrix_counts widening_audit index_build dedup_assets dedup_context source_merge chunk_windows tokenize_df postings
 language_vote letter_mix language_detect garble_fraction phi_screen phi_fixed_terms html_links directory_entries search_topk_secure search_pinned_tier
 search_badges if_score deduction_totals grade_distribution tq_score doc_rollup page_gates worst_pages ocr_word_stats screening_sample
 skew_weighted_median default_copy_top1 generation_build generation_visible generation_gc generation_verify orphan_chunks copy_documents grouping_band

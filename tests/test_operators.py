@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parchline.functions import pixels
 from parchline.functions import text as X
 from parchline.operators import access, authority, fulltext, fusion, html, ledger, quality
-from parchline.plans.index import open_index, write_index
+from parchline.operators.fulltext import Index
 from parchline.sources import files
 from parchline.streaming import flows
 
@@ -40,7 +40,8 @@ def test_chunks_cover_everything(spark, n):
 
 
 def test_plausible_and_garble(spark):
-    lex = F.array(F.lit("qrst"))
+    lex = ["qrst"]
+    assert one(spark, X.garble_fraction(F.col("t")), t="through length strengths wrngs first") == pytest.approx(0.2)  # of the fixed words "through" has its place
     for word, want in (("qrst", True), ("of", True), ("xkcdvb", False), ("rhythm", True), ("strengthsk", False), ("a" * 21, False), ("ab1", None)):
         assert one(spark, X.plausible(F.col("w"), lex), w=word) is want, word
     assert one(spark, X.garble_fraction(F.col("t"), lex), t="one two") is None
@@ -86,7 +87,7 @@ def test_query_grammar():
 def test_search(spark, tmp_path):
     docs = [(1, "Café fuse F3. fuse"), (2, "fuse and cafe"), (3, None), (4, ""), (5, "relay snake_case 2N3904/R12"), (6, "a cafe"), (7, "b c d e")]
     df = spark.createDataFrame(docs, "k int, t string")
-    index = fulltext.Index(df, "k", "t")
+    index = Index.build(df, "k", "t", str(tmp_path / "ix"))
     keys = lambda q, ix=index: sorted(r[0] for r in ix.scored(q).collect())
     assert keys("cafe") == [1, 2, 6] and keys("fuse cafe") == [1, 2] and keys("fuse OR relay") == [1, 2, 5] and keys("cafe NOT fuse") == [6]
     assert keys('"cafe fuse"') == [1] and keys("2n3904*") == [5] and keys("snake") == [5] and keys("f3") == [] and keys("NEAR(fuse cafe, 1)") == [1, 2]
@@ -95,8 +96,8 @@ def test_search(spark, tmp_path):
     idf = np.log((n - 2 + 0.5) / 2.5)
     want = -idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))
     assert {r[0]: r[1] for r in index.scored("fuse").collect()}[1] == pytest.approx(want)
-    write_index(df, "k", "t", str(tmp_path / "ix"), 2)
-    assert keys("fuse cafe", open_index(spark, "k", str(tmp_path / "ix"))) == [1, 2]
+
+    assert keys("fuse cafe", Index.open(spark, "k", str(tmp_path / "ix"))) == [1, 2]
     assert one(spark, fulltext.snippet(F.col("t"), ["fuse"], 3), t="a b c fuse d e") == "... c [fuse] d ..."
 
 
@@ -126,11 +127,14 @@ def test_authority(spark):
     rows = [
         ("1", 1, "svc-b", "revision", "r", "draft", "2024-05-01", None), ("2", 2, "svc-c", "revision", "r", "approved-for-use", "2024-04-01", None),
         ("3", 1, "svc-b", "revision", "q", "draft", None, None), ("4", 2, "svc-b", "revision", "q", "retired", "2024-01-01", " 3 "), ("5", 1, "owner", "revision", "o", "draft", None, None), ("6", 2, "svc-b", "revision", "o", "retired", "2024-01-01", None),
+        # what another object's record names stays; an object whose records supersede one another has neither winner nor conflict
+        ("7", 3, "svc-b", "revision", "z", "draft", None, "6"), ("8", 3, "svc-b", "revision", "w", "draft", None, "9"), ("9", 3, "svc-b", "revision", "w", "draft", None, "8"),
     ]
     rows = [(*r[:7], dt.datetime(2024, 1, r[1]), r[7]) for r in rows]
     df = spark.createDataFrame(rows, "id string, arrival int, principal string, object_kind string, object_id string, status string, effective_date string, recorded_at timestamp_ntz, supersedes string")
     got = {r["object_id"]: (r["winner"], r["conflict"]) for r in authority.resolve(df, ["owner"], []).collect()}
-    assert got == {"r": (None, True), "q": ("4", False), "o": ("5", False)}
+    assert got == {"r": (None, True), "q": ("4", False), "o": ("5", False), "z": ("7", False), "w": (None, False)}
+    assert [r["id"] for r in authority.active_records(df).where("object_id = 'o'").orderBy("id").collect()] == ["5", "6"]
 
 
 def test_audit_chain(spark):
@@ -168,9 +172,20 @@ def test_html():
 
 
 def test_directory_entries(spark):
-    for href, want in (("a%20b.pdf", ("a b.pdf", False)), ("sub/", ("sub", True)), ("?C=N", None), ("../", None), ("http://x/", None), ("#a", None), ("", None), ("a+b", ("a+b", False))):
-        got = one(spark, html.directory_entry(F.col("h")), h=href)
+    for href, want in (("a%20b.pdf", ("a b.pdf", False)), ("sub/", ("sub", True)), ("?C=N", None), ("../", None), ("http://x/", None), ("#a", None), ("", None), ("a+b", ("a+b", False)), ("/", None), ("/pub/manuals/x.pdf", ("x.pdf", False)), ("/pub/sub/", ("sub", True)), ("..", None)):
+        got = one(spark, html.directory_entry(F.col("h"), F.lit("x")), h=href)
         assert (got and tuple(got)) == want, href
+    assert one(spark, html.directory_entry(F.col("h"), F.lit("Parent Directory")), h="/pub/") is None
+    page = '<A HREF="a/"><b>First</b> one </A><a name="x">no</a><a href="/pub/">Parent Directory</a>'
+    assert [tuple(x) for x in one(spark, html.anchors(F.col("t")), t=page)] == [("a/", "First one"), ("/pub/", "Parent Directory")]
+
+
+def test_url_join(spark):
+    from urllib.parse import urljoin
+
+    for base in ("http://h/d/e.html", "http://h/d/", "http://h", "https://h/x?y=/z"):
+        for href in ("a.pdf", "s/a.pdf", "/r/a", "//o/p", "ftp://q/r", ""):
+            assert one(spark, html.url_join(F.col("b"), F.col("h")), b=base, h=href) == urljoin(base, href), (base, href)
 
 
 def test_fusion(spark):

@@ -4,9 +4,10 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
-from parchline import queries_core, queries_data
+from parchline import queries_core, queries_data, queries_ledger, queries_search
 
-NAMES = [*queries_core.QUERIES, *queries_data.QUERIES]
+MODULES = [queries_core, queries_data, queries_ledger, queries_search]
+NAMES = [n for m in MODULES for n in m.QUERIES]
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def con(data):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, data, con, name):
-    sql = {**queries_core.ORACLE, **queries_data.ORACLE}.get(name)
+    sql = {k: v for m in MODULES for k, v in m.ORACLE.items()}.get(name)
     df = entry.queries()[name](spark, data)
     if sql is None:
         assert df.count() >= 0
