@@ -2,7 +2,8 @@
 
 Parents and children are brought into one long form of tagged keys and aggregated by (parent table, key);
 the aggregate keeps only fixed-size state, so a key that a third of all rows name costs one row per task
-after map-side combining. Only keys with a failing reference are then met with the children again.
+after map-side combining. Only keys with a failing reference are then met with the children again, in one scan: references to hot
+keys are dealt out over salted parts.
 
 Defined results: a null, empty or blank reference refers to nothing and is never reported; a reference
 row without arrival time can only be ``missing`` and has a null period; repeated deliveries of a row count
@@ -18,13 +19,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchline.functions.partitions import HOT_SHARE, lookup
 from parchline.functions.refs import norm_ref
 from parchline.session import Scratch
 
-#: Keys with more than this share of all failing references are joined by broadcast; there are fewer than
-#: its inverse of them, whatever the size of the data.
-HOT_SHARE = 1 / 200
-
 
 @dataclass(frozen=True)
 class Parent:
@@ -99,14 +97,9 @@ def orphan_references(spark: SparkSession, parents: list[Parent], children: list
     scratch = Scratch(spark, "orphans")
     failing = scratch.save(key_status(parents, children), "failing")
     total = failing.agg(F.sum("refs")).first()[0] or 0
-    limit = max(total * HOT_SHARE, 1)
-    kids = _children(children)
-    on = ["parent_table", "key"]
-    hot = failing.where(F.col("refs") > limit)
-    # fewer than 1 / HOT_SHARE rows, as their shares sum to at most 1
-    few = F.broadcast(hot)
-    cold = failing.where(F.col("refs") <= limit)
-    met = kids.join(few, on).unionByName(kids.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+    # fewer than 1 / HOT_SHARE keys, as their shares sum to at most 1
+    hot = failing.where(F.col("refs") > max(total * HOT_SHARE, 1))
+    met = lookup(_children(children), failing, ["parent_table", "key"], hot)
     once = met.groupBy("ref_table", "row_id", "has_parent", "first_arrived", "deleted").agg(F.min("arrived").alias("arrived"))
     reason = (
         F.when(F.col("has_parent") == 0, "missing")
