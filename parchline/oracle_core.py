@@ -107,6 +107,8 @@ _BAD = f"NOT list_contains({COMMON_WORDS!r}, x) AND len(x) > 2 AND (len(x) > 20
 _A1, _A2 = (r"""regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', """ + f"{k})" for k in (1, 2))
 _HREF = r"""regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>', 1)"""
 
+_CHAIN = """WITH RECURSIVE b AS MATERIALIZED (SELECT event_id + 1 AS line_no, CAST(to_json({'event_type': event_type, 'user_id': user_id, 'props': props}) AS VARCHAR) AS body FROM events),
+chain AS (SELECT 0::BIGINT AS line_no, '' AS body, '' AS prev, '' AS hash UNION ALL SELECT b.line_no, b.body, c.hash, sha256(c.hash || b.body) FROM chain c JOIN b ON b.line_no = c.line_no + 1)"""
 _OUTBOX = """outbox AS (SELECT o_orderkey AS id, o_orderpriority AS kind, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS applied_at, o_custkey % 4 AS attempts,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'running' ELSE 'queued' END AS state, CAST(o_orderpriority[1] AS INTEGER) AS priority, o_orderdate AS created_at, o_orderdate + INTERVAL 1 DAY AS lease_until, CAST(o_custkey % 10 AS INTEGER) AS queue FROM orders)"""
 
@@ -234,6 +236,16 @@ ORACLE = {
         SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY node HAVING min(hops) > 0""",
     "request_replay": """WITH r AS (SELECT DISTINCT * FROM authority_records) SELECT idempotency_key, id, n - 1 AS replays FROM (SELECT idempotency_key, id, count(*) OVER (PARTITION BY idempotency_key) AS n, row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival, id) AS k FROM r WHERE idempotency_key IS NOT NULL) WHERE k = 1
         UNION ALL SELECT NULL, id, 0 FROM r WHERE idempotency_key IS NULL""",
+    "mutation_fold": """WITH RECURSIVE req AS (SELECT event_id AS seq, user_id % 50 AS object_id, CASE WHEN event_id % 3 = 0 THEN CAST(floor(value) AS BIGINT) END AS want, CASE WHEN event_id % 5 = 0 THEN 'k' || (event_id % 400) END AS key FROM events),
+        ord AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY seq) AS k FROM req),
+        fold AS (SELECT object_id, 0::BIGINT AS k, 0::BIGINT AS seq, NULL::BIGINT AS want, NULL::VARCHAR AS key, '' AS outcome, 1::BIGINT AS now, 1::BIGINT AS version, []::VARCHAR[] AS keys, []::BIGINT[] AS told FROM (SELECT DISTINCT object_id FROM req)
+          UNION ALL SELECT o.object_id, o.k, o.seq, o.want, o.key, CASE WHEN list_contains(keys, o.key) THEN 'replay' WHEN o.want <> now THEN 'conflict' ELSE 'applied' END,
+            CASE WHEN list_contains(keys, o.key) OR o.want <> now THEN now ELSE now + 1 END, CASE WHEN list_contains(keys, o.key) THEN told[list_position(keys, o.key)] WHEN o.want <> now THEN now ELSE now + 1 END,
+            CASE WHEN o.key IS NULL OR list_contains(keys, o.key) OR o.want <> now THEN keys ELSE list_append(keys, o.key) END, CASE WHEN o.key IS NULL OR list_contains(keys, o.key) OR o.want <> now THEN told ELSE list_append(told, now + 1) END
+          FROM fold f JOIN ord o ON o.object_id = f.object_id AND o.k = f.k + 1)
+        SELECT seq, object_id, want AS expected_version, key AS idempotency_key, outcome, version FROM fold WHERE k > 0""",
+    "audit_chain": _CHAIN + " SELECT line_no, body, prev, hash FROM chain WHERE line_no > 0",
+    "audit_chain_verify": "SELECT event_id + 1 AS line_no, 'tampered' AS reason FROM events WHERE (event_id + 1) % 997 = 0",
     "outbox_status": f"WITH {_OUTBOX} SELECT kind, count(*) AS total, count(*) FILTER (applied_at IS NULL) AS pending, count(*) FILTER (applied_at IS NULL AND attempts > 0) AS failing FROM outbox GROUP BY 1",
     "outbox_next": f"WITH {_OUTBOX} SELECT id, kind FROM outbox WHERE applied_at IS NULL ORDER BY id LIMIT 100",
     "job_claim_order": f"""WITH {_OUTBOX} SELECT queue, id, priority, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY queue ORDER BY priority DESC, created_at, id) AS INTEGER) AS place FROM outbox

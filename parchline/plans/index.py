@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parchline.operators.fulltext import Index
-from parchline.session import Scratch
+from parchline.session import Scratch, forget
 
 _BUILT: dict[tuple[str, str], tuple[str, str]] = {}
 
@@ -20,5 +20,6 @@ def stored(spark: SparkSession, name: str, corpus: Callable[[], DataFrame], key:
         path = f"{Scratch(spark, 'index').base}/index"
         index = Index.build(corpus(), key, text, path)
         _BUILT[at] = (path, key)
+        forget(lambda: _BUILT.pop(at, None))
         return index
     return Index.open(spark, _BUILT[at][1], _BUILT[at][0])

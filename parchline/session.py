@@ -9,17 +9,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list["Scratch"] = []
+_FORGET: list[Callable[[], object]] = []
+
+
+def forget(what: Callable[[], object]) -> None:
+    """To be called when intermediate tables are released."""
+    _FORGET.append(what)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where the session names none (tests)."""
+    """The shared folder of the session; one of our own only where the session names none and runs on this machine alone (tests)."""
     for value in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if value:
             return value.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="parchline-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -29,7 +39,7 @@ class Scratch:
     """Named intermediate tables of one operator call.
 
     ``save`` materialises a frame, ``drop`` removes a step that nothing reads any more. What the returned
-    result still reads stays until the Python process ends.
+    result still reads stays until ``release`` is called or the Python process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -65,6 +75,10 @@ class Scratch:
 
 
 @atexit.register
-def _close_all() -> None:
-    for s in _OPEN:
-        s.close()
+def release() -> None:
+    """Removes the intermediate tables of all calls so far, and stored indexes. For long sessions, between jobs: results that were not
+    written or collected before can no longer be read."""
+    while _FORGET:
+        _FORGET.pop()()
+    while _OPEN:
+        _OPEN.pop().close()

@@ -41,7 +41,7 @@ def test_chunks_cover_everything(spark, n):
 
 def test_plausible_and_garble(spark):
     lex = ["qrst"]
-    assert one(spark, X.garble_fraction(F.col("t")), t="through length strengths wrngs first") == pytest.approx(0.2)  # of the fixed words "through" has its place
+    assert one(spark, X.garble_fraction(F.col("t")), t="through length brightens wrngs first") == pytest.approx(0.2)  # of the fixed words "through" has its place
     for word, want in (("qrst", True), ("of", True), ("xkcdvb", False), ("rhythm", True), ("strengthsk", False), ("a" * 21, False), ("ab1", None)):
         assert one(spark, X.plausible(F.col("w"), lex), w=word) is want, word
     assert one(spark, X.garble_fraction(F.col("t"), lex), t="one two") is None
@@ -221,7 +221,128 @@ def test_pixels(spark):
     df = spark.createDataFrame([(1, bytearray(dots.tobytes()), 40, 40), (2, None, 40, 40), (3, bytearray(b"x"), 2, 2)], "k int, c binary, h int, w int")
     got = {r["k"]: r for r in pixels.measure_images(df, "k", "c", "h", "w").collect()}
     assert got[1]["sharpness"] > 0 and got[1]["ink_fraction"] == pytest.approx(67 / 1600) and got[2]["sharpness"] is None and got[3]["ink_fraction"] is None
-    assert pixels.measure(flat)[0] == 0.0
+    assert pixels.measure(flat)[0] == 0.0 and pixels.measure(flat)[-1] is None
+
+
+def drawn(h=400, w=300):
+    return np.full((h, w), 255, np.uint8)
+
+
+def test_lines_and_tables():
+    rng = np.random.default_rng(1)
+    mask = rng.random((30, 40)) < 0.7
+    for n in (1, 3, 6):
+        want = np.zeros_like(mask)
+        for y in range(30):
+            for x in range(40 - n + 1):
+                if mask[y, x : x + n].all():
+                    want[y, x : x + n] = True
+        assert (pixels.opened(mask, n) == want).all()
+    g = drawn()
+    g[50, 20:280] = 0  # a line across
+    g[100:110, 20:40] = 0  # a blot is no line
+    assert pixels.line_score(g < 160) == pytest.approx(260 / 300)
+    assert pixels.table_regions(g < 160) == []
+    for y in (200, 240, 280):
+        g[y, 40:260] = 0
+    for x in (40, 150, 259):
+        g[200:281, x] = 0
+    assert pixels.table_regions(g < 160) == [(40, 200, 220, 81)]
+
+
+def test_skew():
+    for slope in (0.0, 0.03, -0.05):
+        g = drawn(600, 800)
+        for row in range(60, 540, 40):
+            for x in range(60, 740):
+                if x % 9 < 6:  # letters
+                    y = row + round(slope * x)
+                    g[y : y + 6, x] = 0
+        assert pixels.skew(g < 160) == pytest.approx(abs(np.degrees(np.arctan(slope))), abs=0.15), slope
+    assert pixels.skew(drawn() < 160) is None
+
+
+def test_page_rules(spark):
+    from parchline.operators import pages
+
+    lit = lambda v: F.lit(v).cast("string")
+    arr = lambda *v: F.array(*[lit(x) for x in v])
+    german = "der Hund und die Katze sind nicht im Haus bei dem Baum und sie werden es auch nicht sein"
+
+    def lang(override=None, text=None, votes=(None,), scripts=(None,), identity=None):
+        c, vote = X.letter_counts(lit(text)), X.vote_winner(X.language_votes(lit(text)))
+        own = X.text_language(c["kana"], c["han"], c["latin"], vote)
+        return tuple(one(spark, pages.document_language(lit(override), own, vote, arr(*votes), arr(*scripts), lit(identity), ["eng", "deu", "jpn"], ["eng", "jpn"])))
+
+    assert lang("fra", german) == ("fra", None, False, "operator override")
+    assert lang(text=german) == ("deu", None, False, "embedded text")
+    assert lang(text="Bxtq Wopl 1234 Sedkjh Ramln", votes=("deu",), identity="jpn") == ("jpn", "jpn", True, "identity field")
+    assert lang(text="Bxtq Wopl 1234 Sedkjh Ramln") == ("eng", "eng", True, "ambiguous latin")
+    assert lang(votes=(None, "eng"), scripts=("Han",)) == ("eng", "eng", True, "wordlist vote")
+    assert lang(scripts=("Japanese", "Latin", "Japanese")) == ("jpn", "jpn", True, "script majority")
+    assert lang(scripts=("Latin", "Klingon")) == (None, None, False, "unknown")  # ties go to the least name, which is none we know
+    assert lang() == (None, None, False, "unknown")
+    assert one(spark, pages.majority(arr("b", "a", None))) == "a" and one(spark, pages.majority(arr(None))) is None
+    for text, want in (("[/FlateDecode/DCTDecode]", ["FlateDecode", "DCTDecode"]), ("/JBIG2Decode", ["JBIG2Decode"]), ("", []), ("null", ["null"])):
+        assert one(spark, pages.filters(F.col("t")), t=text) == want
+    assert pages.settings({"a": 1, "b": (1, 2)}, '{"b": [3]}') == {"a": 1, "b": (3,)} and pages.settings({"a": 1}, None) == {"a": 1}
+    with pytest.raises(KeyError):
+        pages.settings({"a": 1}, '{"c": 1}')
+
+
+def test_requests(spark):
+    from parchline.operators import requests
+
+    t0 = dt.datetime(2024, 1, 1)
+    ops = [("claim", "x", 0, "unknown"), ("enqueue", "x", 0, "ok"), ("enqueue", "x", 0, "replay"), ("claim", "x", 0, "ok"), ("claim", "y", 200, "refused"), ("heartbeat", "x", 250, "ok"), ("claim", "y", 500, "refused"), ("claim", "y", 551, "ok"),
+           ("complete", "x", 552, "refused"), ("fail", "y", 553, "ok"), ("claim", "x", 554, "ok"), ("fail", "x", 555, "ok"), ("claim", "x", 556, "refused")]
+    df = spark.createDataFrame([("j", i, o, w, t0 + dt.timedelta(seconds=s)) for i, (o, w, s, _) in enumerate(ops)], "job_id string, seq int, op string, worker string, at timestamp_ntz")
+    got = requests.lease_queue(df, max_attempts=3).orderBy("seq").collect()
+    assert [r["outcome"] for r in got] == [x[3] for x in ops] and got[-1]["status"] == "dead" and got[-1]["attempts"] == 3
+    rows = [("o", 1, 1, "k", "a", "1"), ("o", 2, 1, "k", "a", "9"), ("o", 3, 1, None, "a", "2"), ("o", 4, 2, None, "a", "2"), ("p", 5, None, "k", "a", None)]
+    done, ledger_rows, audit = requests.mutate(spark.createDataFrame([(*r, "me") for r in rows], "object_id string, seq int, expected_version bigint, idempotency_key string, field string, value string, actor string"), requests.replace_field)
+    assert [(r["outcome"], r["version"], r["result"]) for r in done.orderBy("seq").collect()] == [("applied", 2, ""), ("replay", 2, ""), ("conflict", 2, None), ("applied", 3, "1"), ("applied", 2, "")]
+    assert ledger_rows.count() == audit.count() == 3
+    before = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, v string")
+    assert {tuple(r) for r in requests.violations(before, spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "id int, v string"), "id").collect()} == {(2, "changed"), (3, "deleted")}
+
+
+def test_canonical_json(spark):
+    import json
+
+    from parchline.functions import ids
+
+    for title in ("plain", "Café \u65e5 \U0001f600 \"q\"", "", None):
+        got = one(spark, ids.canonical_json({"b": F.lit(title).cast("string"), "a": F.lit(1)}))
+        assert got == json.dumps({"a": 1, "b": title}, sort_keys=True, separators=(",", ":")), got
+
+
+def test_badges(spark):
+    from parchline.operators import search
+
+    arr = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    own = search.badges(F.lit("screening"), F.lit(False), F.lit(True), F.lit(False), F.lit(None).cast("boolean"), arr("risk"), arr("INCOMPLETE", "risk"))
+    assert one(spark, own) == ["provisional", "superseded", "image-inadequate", "risk", "INCOMPLETE"]
+    pin = lambda pinned, conflict: one(spark, search.pin_badges(arr("superseded"), F.lit("r1"), F.lit(pinned).cast("string"), F.lit(conflict)))
+    assert pin(None, False) == ["superseded"] and pin("r1", True) == ["pinned", "superseded", "authority-conflict"] and pin("r2", False) == ["superseded", "superseded-revision"]
+
+
+def test_audit_files(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f'{{"n":{i}}}') for i in range(1, 300)], "line_no bigint, body string")
+    ledger.write_audit(ledger.chain_hashes(lines, ["line_no"], "body"), str(tmp_path / "audit"), 8000)
+    back = spark.read.text(str(tmp_path / "audit")).select(F.get_json_object("value", "$.body.n").cast("bigint").alias("line_no"), F.col("value").alias("line"))
+    assert back.count() == 299 and ledger.verify_lines(back).count() == 0 and len(list((tmp_path / "audit").glob("segment=*"))) > 3
+
+
+def test_release(spark):
+    from parchline import session
+
+    s = session.Scratch(spark, "x")
+    df = s.save(spark.range(3).toDF("a"), "t")
+    assert df.count() == 3
+    session.release()
+    with pytest.raises(Exception):  # noqa: B017
+        df.count()
 
 
 def test_sources(spark, tmp_path):

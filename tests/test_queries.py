@@ -4,9 +4,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
-from parchline import queries_core, queries_data, queries_ledger, queries_search
+from parchline import queries_core, queries_data, queries_ledger, queries_pages, queries_search
 
-MODULES = [queries_core, queries_data, queries_ledger, queries_search]
+MODULES = [queries_core, queries_data, queries_ledger, queries_pages, queries_search]
 NAMES = [n for m in MODULES for n in m.QUERIES]
 
 
