@@ -6,7 +6,8 @@ about pi / delta of the weight. Digests merge by putting their centroids togethe
 results of partitions, days or sites combine in any order.
 
 Tasks digest their own rows for all groups at once (no row is shuffled for it), so a group with a third of all rows is many
-small digests; these merge per group and day, and days per group. A second pass over the values counts, for
+small digests; these merge per group and day, and days per group. Merging goes in levels, ``FAN`` digests at a time, so no
+task sorts more than a few thousand centroids of a group however many tasks or days there are. A second pass over the values counts, for
 every estimate, how many values lie below it and at or below it, which gives its exact rank error.
 
 Defined results: nulls, NaN, infinities and values outside the measurement's possible range are not measurements and are
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 
 CENTROID = ("mean", "weight", "lo", "hi")
 QS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+#: digests of one group that are merged at once
+FAN = 64
 
 
 def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray, delta: float) -> tuple[np.ndarray, ...]:
@@ -61,6 +64,9 @@ def _digest_rows(delta: float, hold: int = 1 << 18):
     """Rows (key, value) to centroid rows; whatever the number of rows, a task holds ``hold`` of them and its digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         names: dict[str, int] = {}
         parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64), *[np.zeros(0)] * 4)]
         waiting = 0
@@ -82,7 +88,7 @@ def _digest_rows(delta: float, hold: int = 1 << 18):
         keys = np.array(list(names), dtype=object)
         for at in range(0, len(group), 50_000):
             s = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[group[s]], pa.string()), *[pa.array(c[s]) for c in rest]], names=["key", *CENTROID])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(group[s]), task, dtype=np.int32)), pa.array(keys[group[s]], pa.string()), *[pa.array(c[s]) for c in rest]], names=["task", "key", *CENTROID])
 
     return run
 
@@ -90,9 +96,18 @@ def _digest_rows(delta: float, hold: int = 1 << 18):
 def digest(values: DataFrame, keys: list[str], value: str, delta: float = 400.0) -> DataFrame:
     """Centroid rows (keys, mean, weight, lo, hi) of every group: one digest per task that saw the group, then merged."""
     packed = values.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key"), F.col(value).cast("double").alias("value"))
-    own = packed.mapInArrow(_digest_rows(delta), "key string, " + ", ".join(f"{c} double" for c in CENTROID))
+    own = packed.mapInArrow(_digest_rows(delta), "task int, key string, " + ", ".join(f"{c} double" for c in CENTROID))
     kind = F.from_json("key", values.select(*keys).schema).alias("k")
-    return merge(own.select(kind, *CENTROID).select("k.*", *CENTROID), keys, delta)
+    rows, tasks = own.select(kind, F.col("task").alias("__of"), *CENTROID).select("k.*", "__of", *CENTROID), packed.rdd.getNumPartitions()
+    while tasks > FAN:
+        rows, tasks = merge(rows.withColumn("__of", F.floor(F.col("__of") / FAN).cast("int")), [*keys, "__of"], delta), -(-tasks // FAN)
+    return merge(rows.drop("__of"), keys, delta)
+
+
+def merge_over(centroids: DataFrame, keys: list[str], over: list[str], delta: float = 400.0) -> DataFrame:
+    """The digests of each group of ``keys``, one of each value of ``over``, as one: first in ``FAN`` parts, then these."""
+    part = F.pmod(F.xxhash64(*over), F.lit(FAN)).alias("__of")
+    return merge(merge(centroids.select(*keys, part, *CENTROID), [*keys, "__of"], delta).drop("__of"), keys, delta)
 
 
 def merge(centroids: DataFrame, keys: list[str], delta: float = 400.0) -> DataFrame:

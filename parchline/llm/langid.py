@@ -15,6 +15,7 @@ sentence has one language; repeated rows are judged each; ties go to the first l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,12 +173,9 @@ class Model:
         common = []
         raw = u.data.tobytes()
         for lang in range(len(LANGS)):
-            seen: dict[bytes, int] = {}
-            for p in pick[of == lang][:4000]:
-                for w in re.findall(rb"[a-z\x80-\xff]+", raw[u.start[p] : u.end[p]].lower()):
-                    seen[w] = seen.get(w, 0) + 1
-            short = sorted((w for w in seen if len(w) <= 5), key=lambda w: -seen[w])
-            common.append(frozenset(short[:30]))
+            said = b" ".join(raw[u.start[p] : u.end[p]] for p in pick[of == lang]).lower()
+            seen = Counter(w for w in re.findall(rb"[a-z\x80-\xff]+", said) if len(w) <= 5)
+            common.append(frozenset(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:30]))
         return cls(table, common)
 
     def unstopped(self, u: Units, pick: np.ndarray, min_words: int = 8, least: float = 0.25) -> np.ndarray:
@@ -195,12 +193,13 @@ class Model:
         return np.flatnonzero(good)
 
 
-def fit_model(df: DataFrame, text: str, label: str, key: str, sample_rows: int = 3000) -> Model:
-    """The model from about ``sample_rows`` labelled rows, chosen by a hash of their key."""
+def fit_model(df: DataFrame, text: str, label: str, key: str, sample_rows: int = 3000, sample_bytes: int = 64 << 20) -> Model:
+    """The model from about ``sample_rows`` labelled rows or ``sample_bytes`` of text, whichever is less, chosen by a hash of their key."""
     labelled = df.where(label_language(F.col(label)).isin(LANGS))
-    n = labelled.count()
+    n, size = labelled.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     million = 1_000_000
-    few = labelled if n <= sample_rows else labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(million)) < max(1, int(million * sample_rows / n)))
+    share = min(sample_rows / max(n, 1), sample_bytes / max(size, 1))
+    few = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64(F.col(key)), F.lit(million)) < max(1, int(million * share)))
     rows = few.where(F.col(text).isNotNull()).select(text, label_language(F.col(label)).alias("l")).toArrow()
     return Model.fit(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 

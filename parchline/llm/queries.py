@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchline.functions.partitions import spread
 from parchline.functions.refs import norm_ref
-from parchline.llm.digest import certified, digest, merge, percentiles
+from parchline.llm.digest import certified, digest, merge_over, percentiles
 from parchline.llm.langid import label_languages, wrong_labels
 from parchline.llm.leaks import leaked_items
 from parchline.llm.packing import pack_documents
@@ -66,11 +68,19 @@ def _measurements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per class and metric, merged from digests per day, with their certified rank errors."""
+    """Percentiles per class and metric, of every day and, merged from the days' digests, of all days together (``day`` null), with their
+    certified rank errors."""
     keys = ["content_class", "metric"]
     values = _measurements(spark, d)
-    daily = digest(values, [*keys, "day"], "value")
-    return certified(values, keys, "value", percentiles(merge(daily, keys), keys))
+    daily = Scratch(spark, "digest").save(digest(values, [*keys, "day"], "value"), "daily")
+    each = certified(values, [*keys, "day"], "value", percentiles(daily, [*keys, "day"]))
+    whole = certified(values, keys, "value", percentiles(merge_over(daily, keys, ["day"]), keys))
+    return each.unionByName(whole.withColumn("day", F.lit(None).cast("date")))
+
+
+def p5_certified(spark: SparkSession, d: str) -> DataFrame:
+    """Of each class and metric the number of values, and whether every estimate's exact rank error is within pi / delta."""
+    return p5_percentiles(spark, d).where("day IS NULL").groupBy("content_class", "metric").agg(F.max("n").alias("n"), (F.max("rank_error") <= math.pi / 400).alias("within"))
 
 
 def p5_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +105,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).dropDuplicates(["item_table", "item_id", "piece_no"])
 
 
+def p6_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized item whether its pieces without overlaps are its text, and whether each keeps the limits, as a hash and a flag."""
+    core = F.struct("piece_no", F.expr("substring(text, core_start - start + 1)").alias("core"))
+    fits = F.max("n_tokens") <= 800
+    by = p6_pieces(spark, d).groupBy("item_table", "item_id").agg(F.array_sort(F.collect_list(core)).alias("p"), (fits & (F.max(F.length("text")) <= 8000)).alias("within"))
+    return by.select("item_table", "item_id", F.md5(F.array_join(F.transform("p", lambda x: x["core"]), "")).alias("md5"), "within")
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return label_languages(texts(spark, d, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
 
@@ -138,9 +156,16 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return keyword_pages(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", *[F.round(c, 6).alias(c) for c in SHARES], "is_spam")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_languages": p7_languages, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_daily": p5_daily, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_rejoined": p6_rejoined, "p7_found": p7_found, "p7_languages": p7_languages, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores}
+
+_VALUES = """
+WITH pages AS (SELECT DISTINCT id, content_class, CAST(analyzed_at AS DATE) AS day, sharpness, effective_dpi FROM page_results),
+vals AS (SELECT coalesce(nullif(lower(trim(content_class)), ''), 'unknown') AS content_class, day, 'sharpness' AS metric, sharpness AS v FROM pages WHERE sharpness BETWEEN 0 AND 1e9 AND NOT isnan(sharpness)
+  UNION ALL SELECT coalesce(nullif(lower(trim(content_class)), ''), 'unknown'), day, 'effective_dpi', effective_dpi FROM pages WHERE effective_dpi BETWEEN 1 AND 10000 AND NOT isnan(effective_dpi))
+"""
 
 ORACLE = {
+    "p5_certified": _VALUES + "SELECT content_class, metric, count(*) AS n, true AS within FROM vals GROUP BY ALL",
     "p1_found": """
 SELECT revision_id, place, copy_id FROM (
   SELECT lower(trim(revision_id)) AS revision_id, id AS copy_id, CAST(row_number() OVER (PARTITION BY lower(trim(revision_id))
@@ -149,6 +174,11 @@ SELECT revision_id, place, copy_id FROM (
   FROM (SELECT DISTINCT id, row_version, revision_id, is_document_default, superseded, fitness_text, created_at FROM copies) c
   WHERE row_version = (SELECT max(row_version) FROM copies x WHERE x.id = c.id))
 WHERE revision_id <> '' AND place <= 3
+""",
+    "p6_rejoined": """
+WITH items AS (SELECT 'chunks' AS item_table, id AS item_id, min(text) AS text FROM chunks GROUP BY id UNION ALL SELECT 'page_results', id, min(extracted_text) FROM page_results GROUP BY id)
+SELECT item_table, item_id, md5(text) AS md5, true AS within FROM items
+WHERE length(text) > 8000 OR len(regexp_extract_all(text, '[^\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) > 800
 """,
     "p6_found": """
 WITH items AS (SELECT 'chunks' AS item_table, id AS item_id, text FROM chunks UNION ALL SELECT 'page_results', id, extracted_text FROM page_results)

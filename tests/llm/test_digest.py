@@ -30,3 +30,13 @@ def test_clusters_stay_small():
     z = np.zeros(len(v), dtype=np.int64)
     g, m, w, lo, hi = D.cluster(z, v, np.ones(len(v)), v, v, 400.0)
     assert w.sum() == len(v) and w.max() <= np.pi / 400 * len(v) + 1 and w[0] < 50 and (lo[1:] > hi[:-1]).all()
+
+
+def test_merging_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(D, "FAN", 2)
+    rng = np.random.default_rng(4)
+    rows = [("a", int(i % 90), float(x)) for i, x in enumerate(rng.normal(0, 1, 5000))]
+    df = spark.createDataFrame(rows, "g string, day int, v double").repartition(9)
+    for made in (D.digest(df, ["g"], "v"), D.merge_over(D.digest(df, ["g", "day"], "v"), ["g"], ["day"])):
+        assert made.agg(F.sum("weight")).first()[0] == len(rows) and made.count() < 250
+        assert max(r["rank_error"] for r in D.certified(df, ["g"], "v", D.percentiles(made, ["g"])).collect()) <= np.pi / 400

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,16 @@ def test_best_fit_beats_no_one_and_stops_at_the_bound():
     size = [60, 40] * 30
     best = P.evolve(size, 100, [], np.random.default_rng(0), 4, 10)
     assert len(best.bins) == 30
+
+
+def test_crossover_closes_what_best_fit_misses():
+    rng = np.random.default_rng(21)
+    size = []
+    for _ in range(16):  # three documents of about a third of a container each
+        a, b = int(rng.integers(340, 480)), int(rng.integers(260, 340))
+        size += [a, b, 1000 - int(rng.integers(0, 45)) - a - b]
+    g = np.random.default_rng(21)
+    fits = [len(P.first_packing(size, 1000, g, 0.15 if k else 0.0).bins) for k in range(6)]
+    best = P.evolve(size, 1000, [], np.random.default_rng(21), 6, 60)
+    assert min(fits) == 17 and len(best.bins) == 16 == -(-sum(size) // 1000)
+    assert sorted(i for b in best.bins for i in b) == list(range(48)) and all(sum(size[i] for i in b) <= 1000 for b in best.bins)
