@@ -48,7 +48,14 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return _forest(spark, d, True).intervals()
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
+def asset_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every file below those that came from a scanning station and have no parent, from chain intervals."""
+    h = _forest(spark, d, True)
+    of = table(spark, d, "file_assets").where("producer_tool = 'scan-station' AND coalesce(trim(parent_asset_id), '') = ''").select(F.lit("file_assets").alias("tree"), F.col("id").alias("node_id")).distinct()
+    return h.descendants(of).select("node_id", "descendant_id")
+
+
+QUERIES = {"asset_descendants": asset_descendants, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
 
 _P2 = """
 WITH refs AS (
@@ -76,6 +83,9 @@ walk AS (
 """
 
 ORACLE = {
+    "asset_descendants": _P3
+    + """, tops AS (SELECT DISTINCT id FROM file_assets WHERE producer_tool = 'scan-station' AND coalesce(trim(parent_asset_id), '') = ''), low AS (SELECT id, unnest(string_split(path, '/')) AS up FROM walk WHERE tree = 'file_assets')
+    SELECT tops.id AS node_id, low.id AS descendant_id FROM tops JOIN low ON low.up = tops.id AND low.id <> tops.id""",
     "p2_found": _P2 + "SELECT * FROM found WHERE reason IS NOT NULL",
     "p2_report": _P2 + "SELECT ref_table, period, reason, count(*) AS n_rows FROM found WHERE reason IS NOT NULL GROUP BY ALL",
     "p3_found": _P3 + "SELECT l.tree, l.id AS node_id, coalesce(w.root_id, '') AS root_id, CAST(coalesce(w.depth, -1) AS INTEGER) AS depth FROM linked l LEFT JOIN walk w USING (tree, id)",

@@ -70,6 +70,46 @@ def tiff_compression(content: bytes) -> int | None:
     return None
 
 
+# fixed values: what tag 259 says of compressions that lose nothing, and of none
+TIFF_LOSSLESS, TIFF_PLAIN = {5: "LZW", 8: "Deflate", 32946: "Deflate"}, 1
+
+
+def capture_verdicts(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, verdict): ``capture_verdict`` with the compression of TIFF files: ``tiff LZW`` or ``tiff Deflate``, else refused."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for head, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if head == "tiff":
+                    c = tiff_compression(data)
+                    head = f"tiff {TIFF_LOSSLESS[c]}" if c in TIFF_LOSSLESS else "refused: tiff uncompressed" if c == TIFF_PLAIN else f"refused: tiff compression {c}"
+                out.append(head)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["k", "verdict"])
+
+    schema = T.StructType([T.StructField("k", files.schema[key].dataType), T.StructField("verdict", T.StringType())])
+    told = files.select(F.col(key), capture_verdict(F.col(content)).alias("head"), F.col(content))
+    return told.select(key, "head", F.when(F.col("head") == "tiff", F.col(content)).alias("data")).mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
+def assert_local(path: str, network_points: list[str]) -> None:
+    """Refuses a path on or below a network mount."""
+    for p in network_points:
+        if path == p or path.startswith(p.rstrip("/") + "/"):
+            raise ValueError(f"{path} lies on the network mount {p}")
+
+
+def verify_mount(spark: SparkSession, root: str, mount_id: str, marker: str = "MOUNT-ID") -> None:
+    """Raises unless the marker file of a root names the mount that is meant, so that nothing is written where a mount dropped."""
+    try:
+        found = spark.read.text(f"{root.rstrip('/')}/{marker}").first()
+    except Exception as e:
+        raise OSError(f"no readable marker in {root}: the mount may have dropped") from e
+    if found is None or found[0].strip() != mount_id:
+        raise OSError(f"marker of {root} is {found and found[0]!r}, not {mount_id!r}")
+
+
 def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep every rule, and the others with the names of the rules they break. An unknown (null) result breaks a rule."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))

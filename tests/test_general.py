@@ -122,3 +122,30 @@ def test_descendants_of_whole_tables(spark, data):
     theirs = sorted(connect(data).execute(up + " SELECT tree, a, d FROM pairs").fetchall())
     assert mine == theirs and mine
     assert len([r for r in rows if r["own"]]) == connect(data).execute(_P3 + " SELECT count(*) FROM walk").fetchone()[0]
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    from parchline.functions import partitions
+
+    monkeypatch.setattr(partitions, "HOT_LEAST", 1)
+    rng = random.Random(8)
+    rows = [("t", "root", None, "z")] + [("t", f"n{i}", "root" if i % 2 else f"n{rng.randrange(max(i, 1))}", "z") for i in range(80)]
+    check(spark, rows)
+
+
+def test_lookup_of_hot_keys(spark):
+    from parchline.functions.partitions import lookup
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i) for i in range(90)] + [(900, None, 1), (901, "none", 1)], "i int, k string, x int")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), (None, 4)], "k string, v int")
+    hot = spark.createDataFrame([("hot",)], "k string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, lookup(left, right, ["k"], hot, how).collect())) == sorted(map(str, left.join(right, "k", how).select("k", "i", "x", "v").collect()))
+
+
+def test_paths_over_many_blocks(spark, monkeypatch):
+    from parchline.operators import hierarchy
+
+    monkeypatch.setattr(hierarchy, "BLOCK", 4)
+    rows = [("t", f"n{i:03d}", f"n{i - 1:03d}" if i else None, "z") for i in range(40)] + [("t", f"m{i}", "n017", "z") for i in range(3)] + [("t", "x", "m1", "z")]
+    check(spark, rows)

@@ -345,6 +345,58 @@ def test_release(spark):
         df.count()
 
 
+def test_pdf_structure(spark, tmp_path):
+    import zlib
+
+    from parchline.operators import pages
+    from parchline.sources import pdf
+
+    packed = b"7 0 8 40 <</Type /Page /Parent 2 0 R>>            <</Subtype/Image/Width 90/Height 20/Filter/JBIG2Decode>>"
+    stream = zlib.compress(packed)
+    data = b"%PDF-1.7\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj <</Type/Pages/Kids[3 0 R]/MediaBox [0 0 612 792]>> endobj\n3 0 obj <</Type /Page /Parent 2 0 R>> endobj\n"
+    data += b"4 0 obj <</Subtype /Image /Width 800 /Height 600 /BitsPerComponent 8 /Filter [/FlateDecode /DCTDecode] /Length 5 >> stream\nabcde\nendstream endobj\n"
+    data += b"5 0 obj <</Type/ObjStm/N 2/First 9/Filter/FlateDecode/Length %d>> stream\n" % len(stream) + stream + b"\nendstream endobj\n6 0 obj <</Type/ObjStm/N 1/First 4/Filter/FlateDecode>> stream\nbroken\nendstream endobj\n"
+    n, wide, high, images, errors = pdf.scan(data)
+    assert (n, wide, high) == (2, 612.0, 792.0) and len(errors) == 1 and sorted(i["width_px"] for i in images) == [90, 800]
+    assert pdf.scan(b"GIF89a")[0] is None and pdf.scan(None)[0] is None and pdf.scan(b"%PDF-1.4\n")[4] == ["no page objects"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.pdf").write_bytes(data)
+    (tmp_path / "p" / "b.pdf").write_bytes(b"nothing")
+    got = pdf.pdf_files(spark, str(tmp_path / "p"))
+    assert sorted((r["n_pages"] or 0) for r in got.collect()) == [0, 2]
+    found = pages.structure(got.select("path", F.explode("images.filter").alias("filter")), "path").first()
+    assert found["filters"] == ["DCTDecode", "FlateDecode", "JBIG2Decode"] and found["risk_flags"] == ["jbig2_unknown_history"]
+
+
+def test_versions(spark, tmp_path):
+    from parchline.sources.versions import StaleVersion, VersionedTable
+
+    t = VersionedTable(spark, f"file://{tmp_path}/table")
+    assert t.current() == 0 and t.versions() == []
+    assert [t.write(spark.range(n).toDF("a")) for n in (1, 2, 3)] == [1, 2, 3] and t.read().count() == 3
+    with pytest.raises(StaleVersion):
+        t.write(spark.range(9).toDF("a"), expected=2)
+    assert t.write(spark.range(4).toDF("a"), expected=3) == 4 and t.versions() == [1, 2, 3, 4]
+    t.restore(2)
+    assert t.read().count() == 2 and t.retain(1) == [1, 3] and t.versions() == [2, 4]
+    with pytest.raises(FileNotFoundError):
+        t.restore(3)
+
+
+def test_captures_and_mounts(spark, tmp_path):
+    tiff = lambda c: b"II*\0\x08\0\0\0\x01\0" + (259).to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + c.to_bytes(4, "little")
+    df = spark.createDataFrame([(1, bytearray(tiff(5))), (2, bytearray(tiff(1))), (3, bytearray(tiff(7))), (4, bytearray(b"\x89PNG\r\n\x1a\n")), (5, bytearray(b"\xff\xd8\xff")), (6, None)], "k int, c binary")
+    assert [r[1] for r in files.capture_verdicts(df, "k", "c").orderBy("k").collect()] == ["tiff LZW", "refused: tiff uncompressed", "refused: tiff compression 7", "png", "refused: jpeg", "refused: unknown"]
+    files.assert_local("/data/x", ["/net"])
+    with pytest.raises(ValueError):
+        files.assert_local("/net/x", ["/net"])
+    (tmp_path / "MOUNT-ID").write_text("m1\n")
+    files.verify_mount(spark, f"file://{tmp_path}", "m1")
+    for root, name in ((tmp_path, "m2"), (tmp_path / "none", "m1")):
+        with pytest.raises(OSError):
+            files.verify_mount(spark, f"file://{root}", name)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "w.tsv").write_text("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t1\t2\t3\t4\t91.5\t\"hi\n5\t1\t1\t1\t1\t2\t1\t2\t3\t4\t-1\tno\n4\t1\t1\t1\t1\t2\t1\t2\t3\t4\t9\tno\n")
     assert [r["text"] for r in files.ocr_words(spark, str(tmp_path / "w.tsv")).collect()] == ['"hi']

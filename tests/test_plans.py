@@ -24,6 +24,21 @@ def test_columns_are_pruned(spark, data):
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", text)
 
 
+@pytest.mark.parametrize("name", ["if_score", "deduction_totals", "grade_distribution", "doc_rollup", "page_gates", "worst_pages", "skew_weighted_median"])
+def test_measurements_do_not_read_texts(spark, data, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan(Q.QUERIES[name](spark, data)))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert scans and not any("extracted_text" in x for x in scans)
+
+
+def test_terms_of_a_query_reach_the_scan_of_the_index(spark, data):
+    text = plan(Q.QUERIES["bm25_and"](spark, data))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(term,washers\)", text) and not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
+
+
 def test_filters_reach_the_scan(spark, data):
     assert "IsNotNull(text)" in plan(Q.dedup_assets(spark, data))
 
