@@ -15,6 +15,7 @@ have no tokens and are in no container; equal documents are items each; ties are
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,10 +43,14 @@ def tokenizer(path: str):
 
 
 def token_sizes(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens) of every row with text."""
+    """(key, tokens) of every row with text. The vocabulary file is read where it lies; executors that do not have it get the driver's."""
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(vocabulary)
+        from pyspark import SparkFiles
+
+        enc = tokenizer(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["key", "tokens"])
