@@ -123,28 +123,55 @@ def verify_chain(lines: DataFrame, number: str = "line_no", body: str = "body",
 
 
 def stale(edges: DataFrame, changed: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(node, hops) of everything that depends on ``changed`` (node) over edges (source, dependent), nearest first. Frontier by
-    frontier; every round is a written table and only meets nodes that are new, so loops end."""
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "stale")
+    """(node, hops) of everything that depends on ``changed`` (node) over edges (source, dependent), by the nearest one.
+
+    Nodes with one source form chains: by pointer jumping each learns, in as many rounds as the logarithm of the longest chain, its nearest
+    changed node along the chain and the chain's top. Nodes with several sources meet through these chains, and only they
+    are settled round by round, which takes as many rounds as the most of them on one shortest way. Loops end: a round that brings
+    nothing nearer is the last. Every round is a written table."""
+    scratch = Scratch(edges.sparkSession, "stale")
     e = scratch.save(edges.select("source", "dependent").where("source IS NOT NULL AND dependent IS NOT NULL").distinct(), "edges")
-    frontier = changed.select("node").distinct()
-    known, out, hop = frontier, [], 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        nxt = e.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("dependent").alias("node")).distinct().join(known, "node", "left_anti")
-        nxt = scratch.save(nxt, "frontier")
-        if not nxt.head(1):
+    gone = scratch.save(changed.select("node").where("node IS NOT NULL").distinct(), "changed")
+    hit = gone.select(F.col("node").alias("source"), F.lit(1).alias("near"))
+    if max_hops == 1:
+        near = e.join(hit, "source").select(F.col("dependent").alias("node"), F.lit(1).alias("hops")).distinct()
+        return near.join(gone, "node", "left_anti")
+    count = e.groupBy("dependent").agg(F.count("*").alias("n"), F.min("source").alias("source"))
+    single = count.where("n = 1").select(F.col("dependent").alias("node"), "source")
+    # (node, up, far, near): up is far steps above, near the steps to the nearest changed node among them
+    rows = scratch.save(single.join(hit, "source", "left").select("node", F.col("source").alias("up"), F.lit(1).alias("far"), "near"), "chain")
+    before = None
+    while True:
+        look = rows.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("near").alias("near2"))
+        step = rows.join(look, "up", "left").select(
+            "node", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.least("near", F.col("far") + F.col("near2")).alias("near"), F.col("up2").isNotNull().alias("open")
+        )
+        step = scratch.save(step, "chain")
+        now = step.agg(F.count_if("open"), F.count("near"), F.sum("near")).first()
+        scratch.drop(rows)
+        rows = step.drop("open")
+        rows._parchline_path = step._parchline_path
+        # the farther of two steps is seen only when all nearer ones are: what brings nothing new will bring nothing later
+        if not now[0] or now == before:
             break
-        out.append(nxt.withColumn("hops", F.lit(hop)))
-        known = known.unionAll(nxt)
-        frontier = nxt
-    if not out:
-        return changed.select("node", F.lit(0).alias("hops")).where("false")
-    done = out[0]
-    for x in out[1:]:
-        done = done.unionAll(x)
-    return done
+        before = now
+    several = scratch.save(count.where("n > 1").select(F.col("dependent").alias("node")), "several")
+    met = e.join(several, e["dependent"] == several["node"], "left_semi").join(rows.withColumnRenamed("node", "source"), "source", "left").join(hit.withColumnRenamed("near", "own"), "source", "left")
+    # ways into a node with several sources: from a changed node, or from the top of a source's chain, or the source itself
+    direct = met.select(F.col("dependent").alias("node"), F.least("own", F.col("near") + 1).alias("hops")).where("hops IS NOT NULL")
+    ways = met.select("dependent", F.coalesce("up", "source").alias("top"), (F.coalesce("far", F.lit(0)) + 1).alias("step"))
+    ways = scratch.save(ways.join(several.withColumnRenamed("node", "top"), "top", "left_semi").groupBy("dependent", "top").agg(F.min("step").alias("step")), "ways")
+    settled = scratch.save(direct.groupBy("node").agg(F.min("hops").alias("hops")), "settled")
+    news = settled
+    while ways.head(1):
+        found = ways.join(news.withColumnRenamed("node", "top"), "top").groupBy(F.col("dependent").alias("node")).agg(F.min(F.col("hops") + F.col("step")).alias("hops"))
+        news = scratch.save(found.join(settled.withColumnRenamed("hops", "had"), "node", "left").where("had IS NULL OR hops < had").select("node", "hops"), "news")
+        if not news.head(1):
+            break
+        settled = scratch.save(settled.unionByName(news).groupBy("node").agg(F.min("hops").alias("hops")), "settled")
+    chained = rows.join(settled.withColumnRenamed("node", "up").withColumnRenamed("hops", "above"), "up", "left").select("node", F.least("near", F.col("far") + F.col("above")).alias("hops"))
+    out = chained.where("hops IS NOT NULL").unionByName(settled).join(gone, "node", "left_anti")
+    return out if max_hops is None else out.where(F.col("hops") <= max_hops)
 
 
 def segments(lines: DataFrame, number: str, line: str, most: int = 64 << 20) -> DataFrame:

@@ -164,6 +164,27 @@ def test_stale_with_loop(spark):
     assert ledger.stale(e, spark.createDataFrame([("q",)], "node string")).count() == 0
 
 
+def test_stale_against_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    for n, more in ((40, 0), (40, 12), (30, 30)):
+        edges = {(f"n{rng.randrange(max(i - 4, 0), i)}", f"n{i}") for i in range(1, n)} | {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(more)}
+        changed = {f"n{rng.randrange(n)}" for _ in range(3)}
+        dist, at = dict.fromkeys(changed, 0), list(changed)
+        while at:
+            nxt = []
+            for s, t in sorted(edges):
+                if s in at and t not in dist:
+                    dist[t] = dist[s] + 1
+                    nxt.append(t)
+            at = nxt
+        e = spark.createDataFrame(sorted(edges), "source string, dependent string")
+        got = {r[0]: r[1] for r in ledger.stale(e, spark.createDataFrame([(c,) for c in changed], "node string")).collect()}
+        assert got == {k: v for k, v in dist.items() if v}
+        assert {r[0] for r in ledger.stale(e, spark.createDataFrame([(c,) for c in changed], "node string"), 1).collect()} == {k for k, v in dist.items() if v == 1}
+
+
 def test_html():
     page = """<table><tr><th>Name</th></tr><tr><td><a href="m/1.pdf"> Big
      Manual </a></td><td>3 MB</td><td></td></tr><tr><td><a href="x"><img></a></td></tr></table>"""
