@@ -18,6 +18,7 @@ from parchline.functions.refs import norm_ref
 from parchline.operators import access
 from parchline.operators.catalogue import citation
 from parchline.operators.fulltext import Index, Term, parse, snippet
+from parchline.session import Scratch
 
 
 def badges(mode: Column, provisional: Column, superseded: Column, image_ok: Column, text_ok: Column, flags: Column, labels: Column) -> Column:
@@ -56,7 +57,8 @@ def search_chunks(
     grants: dict[str, str], verbs: list[str], limit: int = 20, overfetch: bool = False, text: str = "text", active: bool = True,
 ) -> DataFrame:
     """(chunk_id, document_id, title, revision_id, revision_label, copy_id, page_id, page_number, score, tier, snippet, badges, citation).
-    ``chunks``, ``copies``, ``revisions`` and ``documents`` have a row per id, ``copies`` with ``badges``; ``pins`` are (document_id, pinned, conflict)."""
+    ``copies``, ``revisions`` and ``documents`` have a row per id, ``copies`` with ``badges``; ``chunks`` may repeat rows; ``pins`` are (document_id,
+    pinned, conflict). Only hits meet the other tables, and only the texts of those that are left are read on."""
     access.require_verb(verbs if active else [], "search")
     hits = index.scored(query).withColumnRenamed(index.key, "chunk_id").withColumn("score", F.round("score", 6))
     meta = chunks.select(F.col("id").alias("chunk_id"), "document_id", norm_ref("revision_id").alias("revision_id"), norm_ref("copy_id").alias("copy_id"), "page_id", "page_number", "generation")
@@ -65,14 +67,17 @@ def search_chunks(
         .join(copies.select(F.lower("id").alias("copy_id"), "badges"), "copy_id").join(revisions.select(F.lower("id").alias("revision_id"), F.col("label").alias("revision_label")), "revision_id")
         .join(documents.select("document_id", "title", "primary_domain", "additional_domains", "sensitivity"), "document_id")
     )
+    met = met.dropDuplicates(["chunk_id"])
     if overfetch:
         met = met.orderBy("score", "chunk_id").limit(max(5 * limit, 50))
     seen = access.filter_visible(met, grants, active).join(pins.select("document_id", "pinned", "conflict"), "document_id", "left")
     here = F.coalesce(F.col("revision_id") == F.lower("pinned"), F.lit(False))
     tier = F.when(F.col("pinned").isNull() | here, 0).otherwise(1)
     best = seen.withColumns({"tier": tier, "badges": pin_badges(F.col("badges"), F.col("revision_id"), F.lower("pinned"), F.col("conflict"))}).orderBy("tier", "score", "chunk_id").limit(min(limit, 100))
-    # texts of the hits that are left only
-    words = chunks.select(F.col("id").alias("chunk_id"), snippet(F.col(text), query_terms(query)).alias("snippet"))
+    # at most a hundred hits, written as they are met twice
+    best = Scratch(best.sparkSession, "hits").save(best, "best")
+    words = chunks.select(F.col("id").alias("chunk_id"), text).join(F.broadcast(best.select("chunk_id")), "chunk_id").groupBy("chunk_id").agg(F.min(text).alias("__text"))
+    words = words.select("chunk_id", snippet(F.col("__text"), query_terms(query)).alias("snippet"))
     cited = citation("document_id", "revision_id", "copy_id", "page_number").alias("citation")
     return best.join(words, "chunk_id").select("chunk_id", "document_id", "title", "revision_id", "revision_label", "copy_id", "page_id", "page_number", "score", "tier", "snippet", "badges", cited)
 

@@ -41,7 +41,7 @@ def _search(query: str, limit: int = 20, grants: dict | None = None, overfetch:
     def run(spark: SparkSession, d: str) -> DataFrame:
         pins = authority.pinned_revisions(_resolved(spark, d), t(spark, d, "revisions")).withColumnRenamed("revision_id", "pinned")
         docs = t(spark, d, "documents").select("document_id", "title", "primary_domain", "additional_domains", "sensitivity")
-        hits = search.search_chunks(chunk_index(spark, d), query, chunk_rows(spark, d), _pointers(spark, d), badged_copies(spark, d), _revisions(spark, d), docs, pins, grants or SHOP, VERBS, limit, overfetch)
+        hits = search.search_chunks(chunk_index(spark, d), query, t(spark, d, "chunks"), _pointers(spark, d), badged_copies(spark, d), _revisions(spark, d), docs, pins, grants or SHOP, VERBS, limit, overfetch)
         flat = ["chunk_id", "document_id", "title", "revision_id", "revision_label", "copy_id", "page_id", "page_number", "score", "tier"]
         return hits.select(*flat, F.array_join("badges", ",").alias("badges"), (F.col("citation.locator.page") == F.col("page_number")).alias("cited"))
 
