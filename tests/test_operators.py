@@ -290,19 +290,19 @@ def test_page_rules(spark):
     arr = lambda *v: F.array(*[lit(x) for x in v])
     german = "der Hund und die Katze sind nicht im Haus bei dem Baum und sie werden es auch nicht sein"
 
-    def lang(override=None, text=None, votes=(None,), scripts=(None,), identity=None):
-        c, vote = X.letter_counts(lit(text)), X.vote_winner(X.language_votes(lit(text)))
-        own = X.text_language(c["kana"], c["han"], c["latin"], vote)
-        return tuple(one(spark, pages.document_language(lit(override), own, vote, arr(*votes), arr(*scripts), lit(identity), ["eng", "deu", "jpn"], ["eng", "jpn"])))
-
-    assert lang("fra", german) == ("fra", None, False, "operator override")
-    assert lang(text=german) == ("deu", None, False, "embedded text")
-    assert lang(text="Bxtq Wopl 1234 Sedkjh Ramln", votes=("deu",), identity="jpn") == ("jpn", "jpn", True, "identity field")
-    assert lang(text="Bxtq Wopl 1234 Sedkjh Ramln") == ("eng", "eng", True, "ambiguous latin")
-    assert lang(votes=(None, "eng"), scripts=("Han",)) == ("eng", "eng", True, "wordlist vote")
-    assert lang(scripts=("Japanese", "Latin", "Japanese")) == ("jpn", "jpn", True, "script majority")
-    assert lang(scripts=("Latin", "Klingon")) == (None, None, False, "unknown")  # ties go to the least name, which is none we know
-    assert lang() == (None, None, False, "unknown")
+    latin = "Bxtq Wopl 1234 Sedkjh Ramln"
+    cases = [  # override, text, votes, scripts, identity; ties of scripts go to the least name, which is none we know
+        ("fra", german, [], [], None, ("fra", None, False, "operator override")), (None, german, [], [], None, ("deu", None, False, "embedded text")),
+        (None, latin, ["deu"], [], "jpn", ("jpn", "jpn", True, "identity field")), (None, latin, [], [], None, ("eng", "eng", True, "ambiguous latin")),
+        (None, None, [None, "eng"], ["Han"], None, ("eng", "eng", True, "wordlist vote")), (None, None, [], ["Japanese", "Latin", "Japanese"], None, ("jpn", "jpn", True, "script majority")),
+        (None, None, [], ["Latin", "Klingon"], None, (None, None, False, "unknown")), (None, None, [None], [None], None, (None, None, False, "unknown")),
+    ]
+    c = X.letter_counts(F.col("t"))
+    df = spark.createDataFrame([(i, *x[:5]) for i, x in enumerate(cases)], "i int, o string, t string, v array<string>, s array<string>, d string").withColumn("w", X.language_votes(F.col("t")))
+    df = df.select("*", X.vote_winner(F.col("w")).alias("vote"), *[c[k].alias(k) for k in c])
+    df = df.withColumn("own", X.text_language(F.col("kana"), F.col("han"), F.col("latin"), F.col("vote")))
+    told = df.select("i", pages.document_language(F.col("o"), F.col("own"), F.col("vote"), F.col("v"), F.col("s"), F.col("d"), ["eng", "deu", "jpn"], ["eng", "jpn"]).alias("l"))
+    assert {r["i"]: tuple(r["l"]) for r in told.collect()} == {i: x[5] for i, x in enumerate(cases)}
     assert one(spark, pages.majority(arr("b", "a", None))) == "a" and one(spark, pages.majority(arr(None))) is None
     for text, want in (("[/FlateDecode/DCTDecode]", ["FlateDecode", "DCTDecode"]), ("/JBIG2Decode", ["JBIG2Decode"]), ("", []), ("null", ["null"])):
         assert one(spark, pages.filters(F.col("t")), t=text) == want
